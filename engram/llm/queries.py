@@ -6,21 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encoding_digest
 from .common import read_table
 from .quality import quality
+from .secrets import secret_digest
+from .sstable import token_tables
 from .toxicity import toxicity
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed public tokenizers keep a file; the same on every machine that has them."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_tables(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digest(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sstable": op1_sstable,
     "op5_toxicity": op5_toxicity,
+    "op8_trie_bpe": op8_trie_bpe,
+    "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
