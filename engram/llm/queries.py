@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encoding_digest
 from .common import read_table
+from .jpeg import media_digest
+from .packing import pack
 from .quality import quality
 from .secrets import secret_digest
 from .sstable import token_tables
@@ -25,10 +27,18 @@ def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tables(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op8_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digest(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -43,7 +53,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sstable": op1_sstable,
+    "op2_progressive_jpeg": op2_progressive_jpeg,
     "op5_toxicity": op5_toxicity,
+    "op7_residual_packing": op7_residual_packing,
     "op8_trie_bpe": op8_trie_bpe,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
