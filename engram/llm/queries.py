@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encoding_digest
 from .common import read_table
 from .jpeg import media_digest
+from .near import near_duplicates
 from .packing import pack
 from .quality import quality
 from .secrets import secret_digest
@@ -35,6 +36,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), n=4)
+
+
 def op7_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sstable": op1_sstable,
     "op2_progressive_jpeg": op2_progressive_jpeg,
     "op5_toxicity": op5_toxicity,
+    "op6_setsketch": op6_setsketch,
     "op7_residual_packing": op7_residual_packing,
     "op8_trie_bpe": op8_trie_bpe,
     "op9_secrets": op9_secrets,
