@@ -14,6 +14,7 @@ from .packing import pack
 from .quality import quality
 from .secrets import secret_digest
 from .sstable import token_tables
+from .suffix import removal_digest
 from .toxicity import toxicity
 
 
@@ -32,6 +33,10 @@ def op2_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op3_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -59,6 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sstable": op1_sstable,
     "op2_progressive_jpeg": op2_progressive_jpeg,
+    "op3_bwt_merge": op3_bwt_merge,
     "op5_toxicity": op5_toxicity,
     "op6_setsketch": op6_setsketch,
     "op7_residual_packing": op7_residual_packing,
