@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest_neighbours
 from .bpe import encoding_digest
 from .common import read_table
 from .jpeg import media_digest
@@ -37,6 +38,10 @@ def op3_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op4_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sstable": op1_sstable,
     "op2_progressive_jpeg": op2_progressive_jpeg,
     "op3_bwt_merge": op3_bwt_merge,
+    "op4_kmeans_tree": op4_kmeans_tree,
     "op5_toxicity": op5_toxicity,
     "op6_setsketch": op6_setsketch,
     "op7_residual_packing": op7_residual_packing,
