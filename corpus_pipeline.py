@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage works on all that the one before kept."""
+"""The corpus pipeline: five stages, each on all that the one before kept.
+
+Every stage but the last returns the columns of documents; ``run`` writes each stage's rows to the shared
+folder and reads them again, so that a lost executor costs one stage at most.
+"""
 
 from __future__ import annotations
 
@@ -6,21 +10,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm.common import read_table, written
-from engram.llm.quality import quality
+from engram.llm.near import near_duplicates
+from engram.llm.packing import pack
+from engram.llm.quality import fit_quality, keep_quality
+from engram.llm.queries import tokenizer_path
+from engram.llm.secrets import redact_secrets
+from engram.llm.suffix import remove_repeats
+
+ORACLE_SQL = None  # a trained model's scores and BPE are beyond SQL; tests hold the stages against brute force
+
+#: Bytes of a repeated passage: under what 50 words take.
+PASSAGE, STEP = 200, 50
+
 
-ORACLE_SQL = None  # a trained model's scores are beyond SQL; tests hold the stages against brute force
+def counted(docs: DataFrame) -> DataFrame:
+    """n_chars as of the text that is left; null stays null."""
+    return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else docs
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 1: documents that the quality classifier rejects go. A document_id's rows stand or fall together."""
-    verdict = quality(docs, read_table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(verdict, docs["doc_id"] == F.col("__kept"), "left_semi")
+    """Documents that the quality classifier rejects go. It learns from labelled rows of this stage's input."""
+    return keep_quality(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near-duplicates stays: five-word shingles, similarity 0.8.
+
+    Groups are of rows, numbered as written, so that null and repeated identifiers are rows like others."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    gone = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of passages that occur more than once go; every document stays, some with less text."""
+    return counted(remove_repeats(docs, PASSAGE, STEP))
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return counted(redact_secrets(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All texts as pieces of sequences of at most 1024 tokens."""
+    return pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [("quality", keep_good)]
+STAGES = [("quality", keep_good), ("near_duplicates", keep_one), ("repeats", cut_repeats), ("secrets", hide_secrets), ("packing", pack_sequences)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, one after the other, over the whole documents table."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -126,3 +126,17 @@ def quality(documents: DataFrame, labels: DataFrame, sample: int = 6000, thresho
     """doc_id, held_out, score, predicted of every document."""
     model = fit_quality(documents, labels, sample, folds=folds, held_out=held_out)
     return score_quality(documents, model).select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_quality(documents: DataFrame, model: FtrlModel, threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, that the model does not reject; each row by itself, without a join."""
+    shared, at = documents.sparkSession.sparkContext.broadcast(model), documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = strings(b.column(at))
+            for i, j in groups(offsets, GROUP_BYTES):
+                score = shared.value.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield b.slice(i, j - i).filter(pa.array(score >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)
