@@ -22,6 +22,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,9 @@ class Vocabulary:
     #: Characters whose normal form, case and class are the same in all Unicode versions in use.
     SAFE = re.compile(r"[!-~¡-ɏ]*")
 
+    UNSURE = (b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+    SURE_CUT = re.compile(rb"(?<=[!-~])(?= [!-~])")
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -78,22 +82,29 @@ class Vocabulary:
             self.plain[i] = bytes(back[c] for c in t) if all(c in back for c in t) and t not in self.special else t.encode()
 
     def chunks(self, text: bytes) -> list[bytes]:
-        """Parts of a text whose encodings, one after the other, are the text's."""
+        """Keys of a text's parts, whose encodings, one after the other, are the text's.
+
+        Where spaces belong to the words after them, a key stands for a space and the word; one that starts with a space for what follows it."""
         if self.dropped:
             return text.split()  # ASCII white space only: it never lies in a pre-token
-        if re.search(rb"[\s\x1c-\x1f] | [\s\x1c-\x1f]", text) or b"\xc2\x85" in text or b"\xc2\xa0" in text or b"\xe2\x80" in text or b"\xe1\x9a\x80" in text or b"\xe2\x81\x9f" in text or b"\xe3\x80\x80" in text:
-            # Runs of white space: the library's own split decides, over the whole text.
-            return [text]
-        first, *rest = text.split(b" ")
-        return [first, *[b" " + x for x in rest]]
+        # A space between two other characters starts a pre-token. Where white space comes in runs or in other kinds, only cuts between plain characters are sure.
+        if any(w in text for w in self.UNSURE):
+            return [b" " + x for x in self.SURE_CUT.split(text)]
+        parts = text.split(b" ")
+        parts[0] = b" " + parts[0]
+        return parts
 
     def pretokens(self, chunk: bytes) -> list[str | int]:
         """Byte-level words of a chunk; special tokens as their ids."""
-        text = chunk.decode("utf-8", "replace")
+        if not self.dropped:
+            chunk = chunk[1:] if chunk.startswith(b" ") else b" " + chunk
+        return self._words_of(chunk.decode("utf-8", "replace"))
+
+    def _words_of(self, text: str) -> list[str | int]:
         if self.special_cut and "<" in text and self.special_cut.search(text):
             out: list[str | int] = []
             for part in self.special_cut.split(text):
-                out += [self.special[part]] if part in self.special else self.pretokens(part.encode()) if part else []
+                out += [self.special[part]] if part in self.special else self._words_of(part) if part else []
             return out
         if not self.SAFE.fullmatch(text.lstrip(" ") if not self.dropped else text):
             if self.tokenizer.normalizer is not None:
@@ -236,17 +247,15 @@ class Encoder:
         chunks = [self.vocabulary.chunks(t) for t in texts]
         found = self.kept
         new = set().union(*chunks).difference(found)
-        if new:
-            learned = self._learn(new)
-            room = KEPT_CHUNKS - len(found)
-            if len(learned) <= room:
-                found.update(learned)
-            else:  # the first ones seen, which hold the frequent ones, stay
-                for c, _ in zip([c for c in learned if len(c) < 64], range(room)):
-                    found[c] = learned[c]
-                return [b"".join([learned[c] if c in learned else found[c] for c in x]) for x in chunks]
+        learned = self._learn(new) if new else {}
+        # Short ones are kept; once the table is full, the first ones seen, which hold the frequent ones, stay.
+        kept = set(islice((c for c in learned if len(c) < 64), max(0, KEPT_CHUNKS - len(found))))
+        found.update(learned)
         get = found.__getitem__
-        return [b"".join(map(get, x)) for x in chunks]
+        out = [b"".join(map(get, x)) for x in chunks]
+        for c in learned.keys() - kept if len(kept) < len(learned) else ():
+            del found[c]
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The library's decode with special tokens kept, as UTF-8."""
