@@ -23,7 +23,7 @@ CLAUDE_WEB = "array<struct<uuid:string,name:string,summary:string,created_at:str
 
 def whole_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, text of every file; one row a file."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
