@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from engram.plans import catalog
+from engram.plans import catalog, catalog_more  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
