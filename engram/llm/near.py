@@ -6,15 +6,17 @@ spaced logarithm floor(1 - log_b(least h_i(x))), h_i exponentially distributed;
 
 1. Registers are banded, ``ROWS`` to a band. Classes that agree on a band are candidates. At similarity 0.8
    all of the 32 bands miss a pair with a probability of 5e-8.
-2. Each bucket names a hub, by a hash that changes from round to round, and proposes (member, hub) pairs;
-   only pairs from different components are tested. When the pairs left across components are few for the
-   number of classes, all are proposed, so that no candidate goes untested.
-3. A pair is dropped unverified only if the joint likelihood of its registers, at the exact set sizes, rules
-   out the threshold by ``SIGMAS`` standard deviations.
-4. The rest is confirmed on the full sets, within the JVM.
-5. Components of confirmed links, spread to all documents.
-
-No bucket is gathered: hubs are partial aggregates, and joins on hot buckets or hubs can be split.
+2. Each bucket names as its hub the member with the most neighbours in all its buckets, and proposes
+   (member, hub) pairs. A pair is dropped unverified only if the joint likelihood of its registers, at the
+   exact set sizes, rules out the threshold by ``SIGMAS`` standard deviations; the rest is confirmed on
+   the full sets, within the JVM. Confirmed links form components.
+3. Buckets that still hold several components are searched in full, in pairs of blocks of ``BLOCK``
+   members: every pair from different components that no earlier band shares is held against its full
+   sets, so that no candidate goes untested. Only links leave a task.
+4. Components of all links, spread to all documents.
+
+No bucket is gathered whole: hubs are partial aggregates, joins on hot buckets or hubs can be split, and
+blocks are of bounded size.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing; a text of
 fewer words than a shingle is one shingle; repeated rows fall in one class; rows that repeat an
@@ -41,6 +43,7 @@ from .textvec import mixed, shingles, word_hashes
 M, ROWS = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 SIGMAS = 5.0
+BLOCK = 512
 _RNG = np.random.default_rng(20240701)
 MULT = _RNG.integers(1, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLUS = _RNG.integers(0, 2**63, M, dtype=np.uint64)
@@ -112,16 +115,22 @@ def sketch_documents(documents: DataFrame, n: int) -> DataFrame:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(bucket, cls) of every band of every class."""
+    """(bucket, band, cls) of every band of every class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = M // ROWS
         for b in batches:
-            regs = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(-1, count)
-            key = mixed(regs ^ (np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), count))], ["bucket", "cls"])
+            key = band_keys(np.frombuffer(b"".join(b.column(1).to_pylist()), "<u2").reshape(-1, M))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.tile(np.arange(count, dtype=np.int32), len(key))), pa.array(np.repeat(b.column(0).to_numpy(), count))], ["bucket", "band", "cls"])
+
+    return classes.select("cls", "registers").mapInArrow(run, "bucket long, band int, cls long")
+
 
-    return classes.select("cls", "registers").mapInArrow(run, "bucket long, cls long")
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of each sketch."""
+    count = M // ROWS
+    whole = np.ascontiguousarray(regs).view("<u8").reshape(-1, count)
+    return mixed(whole ^ (np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
 def likely(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -146,45 +155,22 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     classes = written(grouped.withColumn("cls", F.monotonically_increasing_id()), "near-classes")
 
     buckets = bands(classes)
-    several = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    members = written(buckets.join(several, "bucket").distinct(), "near-members")
-    involved = members.select("cls").distinct()
-    sketches = written(classes.join(involved, "cls", "left_semi").select("cls", "n", "registers", "rep", "set_key"), "near-involved")
-    sets = written(full_sets(documents, sketches, n), "near-sets")
-
+    several = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(buckets.join(several, "bucket"), "near-members")
+    degree = members.groupBy("cls").agg(F.sum("size").alias("degree"))
+    sketches = written(classes.join(degree, "cls").select("cls", "n", "registers", "rep", "set_key", "degree"), "near-involved")
     comp = None  # (node, root) of classes in a component of several
-    tested = spark.createDataFrame([], "a long, b long")
-    links: list[DataFrame] = []
-    n_classes = sketches.count()
-    round_, most = 0, 8
-    while n_classes:
-        labelled = members if comp is None else members.join(comp, F.col("cls") == F.col("node"), "left").select("bucket", "cls", F.coalesce("root", "cls").alias("root"))
-        labelled = labelled.withColumn("root", F.col("cls")) if comp is None else labelled
-        if comp is not None:
-            mixed_up = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-            labelled = written(labelled.join(mixed_up, "bucket"), "near-open")
-            per = labelled.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-            left = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-            if left == 0:
-                break
-        last = comp is not None and (left <= 4 * n_classes or round_ >= most)
-        if last:
-            x, y = labelled.alias("x"), labelled.alias("y")
-            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-        else:
-            hub = labelled.groupBy("bucket").agg(F.min_by(F.struct("cls", "root"), F.xxhash64("cls", F.lit(round_))).alias("hub"))
-            pairs = labelled.join(hub, "bucket").where("root <> hub.root").select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"))
-        pairs = pairs.distinct()
-        if round_:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        found = written(confirmed(pairs, sketches, sets, percent), "near-links")
-        links.append(found)
-        tested = tested.unionByName(pairs)
-        comp = written(components(union(links)), "near-components")
-        round_ += 1
-        if last:
-            break
+    if not sketches.isEmpty():
+        sets = written(full_sets(documents, sketches, n), "near-sets")
+        hubs = members.join(degree, "cls").groupBy("bucket").agg(F.max_by("cls", F.struct("degree", -F.col("cls"))).alias("hub"))
+        pairs = members.join(hubs, "bucket").where("cls <> hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+        links = written(confirmed(written(pairs, "near-pairs"), sketches, sets, percent), "near-links")
+        comp = written(components(links), "near-components")
+        labelled = members.join(comp, F.col("cls") == F.col("node"), "left").select("bucket", "band", "cls", "size", F.coalesce("root", "cls").alias("root"))
+        mixed_up = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+        rest = written(searched(labelled.join(mixed_up, "bucket"), sketches, sets, percent), "near-rest")
+        if not rest.isEmpty():
+            comp = written(components(links.unionByName(rest)), "near-components")
 
     rows = sketched.join(classes.select("set_key", "cls", "rep"), "set_key", "left").select("doc_id", "n_shingles", "cls", "rep")
     if comp is not None:
@@ -198,11 +184,40 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def searched(labelled: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between components within buckets, each pair of a bucket's blocks in one bounded group."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = labelled.withColumn("g", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = placed.select("bucket", "band", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "g", "cls", "root")
+    full = cells.join(sketches.select("cls", "registers"), "cls").join(sets.select("cls", "shingles"), "cls")
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
+        g, ids, root = (table.column(c).to_numpy() for c in ("g", "cls", "root"))
+        keys = band_keys(np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(-1, M))
+        lists = table.column("shingles").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        at = lists.offsets.to_numpy()
+        values = np.unique(lists.values.to_numpy()[at[0] : at[-1]], return_inverse=True)[1]
+        at, size = at[:-1] - at[0], np.diff(at)
+        mark, out = np.zeros(int(values.max(initial=0)) + 1, bool), []
+        right = np.flatnonzero(g == j)
+        for x in np.flatnonzero(g == i).tolist():
+            y = right[right > x] if i == j else right
+            least, most = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+            y = y[(root[y] != root[x]) & (100 * least >= percent * most)]
+            y = y[~(keys[y, :band] == keys[x, :band]).any(1)]  # a pair belongs to its first common band
+            if not len(y):
+                continue
+            mark[values[at[x] : at[x] + size[x]]] = True
+            common = np.array([np.count_nonzero(mark[values[at[k] : at[k] + size[k]]]) for k in y.tolist()])
+            mark[values[at[x] : at[x] + size[x]]] = False
+            y = y[100 * common >= percent * (size[x] + size[y] - common)]
+            out += [(min(ids[x], k), max(ids[x], k)) for k in ids[y]]
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return full.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def repeated(rows: DataFrame) -> DataFrame | None:
