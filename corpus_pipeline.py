@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages, each on all that the one before kept.
 
 Every stage but the last returns the columns of documents; ``run`` writes each stage's rows to the shared
-folder and reads them again, so that a lost executor costs one stage at most.
+folder and reads them again, so that a lost executor costs one stage at most. A stage begins by removing
+the tables that earlier ones left in the shared folder, but its own input: their rows are written by then.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import read_table, written
+from engram.llm.common import discard_all, read_table, written
 from engram.llm.near import near_duplicates
 from engram.llm.packing import pack
 from engram.llm.quality import fit_quality, keep_quality
@@ -37,6 +38,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays: five-word shingles, similarity 0.8.
 
     Groups are of rows, numbered as written, so that null and repeated identifiers are rows like others."""
+    discard_all(spark, docs)
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
     gone = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("__row"))
     return rows.join(gone, "__row", "left_anti").select(*docs.columns)
@@ -44,16 +46,19 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that occur more than once go; every document stays, some with less text."""
+    discard_all(spark, docs)
     return counted(remove_repeats(docs, PASSAGE, STEP))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
+    discard_all(spark, docs)
     return counted(redact_secrets(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All texts as pieces of sequences of at most 1024 tokens."""
+    discard_all(spark, docs)
     return pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 

@@ -30,12 +30,40 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_made: list[str] = []  # this process's tables in the shared folder that have not been discarded
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    _made.append(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written = path  # for discard()
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for t in tables:
+        if (path := getattr(t, "_written", None)) in _made:
+            _made.remove(path)
+            remove(t.sparkSession, path)
+
+
+def discard_all(spark: SparkSession, but: DataFrame) -> None:
+    """Remove all written tables that ``but`` does not read, for a caller that has used all other results."""
+    if _made:
+        read = {f.rsplit("/", 2)[-2] for f in but.inputFiles()}
+        for path in [p for p in _made if p.rsplit("/", 1)[-1] not in read]:
+            _made.remove(path)
+            remove(spark, path)
 
 
 def documents_of(df: DataFrame) -> DataFrame:

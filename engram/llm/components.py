@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -32,5 +32,6 @@ def components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state.n == 0 or before == (state.n, state.h):
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        before = (state.n, state.h)
+        before, last = (state.n, state.h), now
         now = written(_stars(_stars(now, small=False), small=True), "cc-edges")
+        discard(last)

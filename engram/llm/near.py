@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, groups, strings, written
+from .common import discard, documents_of, groups, strings, written
 from .components import components
 from .textvec import mixed, shingles, word_hashes
 
@@ -164,13 +164,16 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
         sets = written(full_sets(documents, sketches, n), "near-sets")
         hubs = members.join(degree, "cls").groupBy("bucket").agg(F.max_by("cls", F.struct("degree", -F.col("cls"))).alias("hub"))
         pairs = members.join(hubs, "bucket").where("cls <> hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-        links = written(confirmed(written(pairs, "near-pairs"), sketches, sets, percent), "near-links")
+        pairs = written(pairs, "near-pairs")
+        links = written(confirmed(pairs, sketches, sets, percent), "near-links")
         comp = written(components(links), "near-components")
         labelled = members.join(comp, F.col("cls") == F.col("node"), "left").select("bucket", "band", "cls", "size", F.coalesce("root", "cls").alias("root"))
         mixed_up = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
         rest = written(searched(labelled.join(mixed_up, "bucket"), sketches, sets, percent), "near-rest")
         if not rest.isEmpty():
             comp = written(components(links.unionByName(rest)), "near-components")
+        discard(pairs, sets)
+    discard(members, sketches)
 
     rows = sketched.join(classes.select("set_key", "cls", "rep"), "set_key", "left").select("doc_id", "n_shingles", "cls", "rep")
     if comp is not None:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, strings, written
+from .common import discard, documents_of, strings, written
 from .textvec import BYTE_VALUE, _MULT, mixed
 
 LENGTH, STEP = 400, 100
@@ -282,6 +282,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, step: int = STEP)
     wanted = distinct.where("several or (own and n = 1)").join(crowd, "h", "left").select("h", F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"), F.col("at.a").alias("a"), F.col("at.r").alias("r"), (F.col("n") == 1).alias("once"), F.coalesce("crowd", F.lit(1)).alias("crowd"))
     pieces = written(bytes_of(keyed, wanted, length), "suffix-pieces")
     found = written(search(pieces, length, step), "suffix-found")
+    discard(runs, pieces)
     return whole.unionByName(found).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # of one text, so bounded by it
 
 
