@@ -38,7 +38,7 @@ LENGTH, STEP = 400, 100
 SEED = 32
 #: Distinct runs under a hash from which a longer seed splits it, and the seed's part of the window.
 SPLITS = ((100_000, 0.99), (500, 0.84))
-SHARD_BYTES, GROUP_BYTES = 1 << 19, 1 << 22
+SHARD_BYTES, GROUP_BYTES = 1 << 18, 1 << 21
 
 
 def kmer_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -278,7 +278,8 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, step: int = STEP)
     distinct = shared.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "a", "r")).alias("at"), F.max("own").alias("own"), F.max("several").alias("several"))
     distinct = written(distinct, "suffix-distinct")
     whole = shared.join(distinct.where("n > 1").select("h", "c1", "c2"), ["h", "c1", "c2"]).select("k1", "k2", F.col("a").alias("lo"), F.expr("a + r").cast("int").alias("hi"))
-    crowd = distinct.where("several").groupBy("h").agg(F.count("*").alias("crowd"))
+    # Written, so that the join below deals both sides anew and can split a crowded hash.
+    crowd = written(distinct.where("several").groupBy("h").agg(F.count("*").alias("crowd")), "suffix-crowd")
     wanted = distinct.where("several or (own and n = 1)").join(crowd, "h", "left").select("h", F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"), F.col("at.a").alias("a"), F.col("at.r").alias("r"), (F.col("n") == 1).alias("once"), F.coalesce("crowd", F.lit(1)).alias("crowd"))
     pieces = written(bytes_of(keyed, wanted, length), "suffix-pieces")
     found = written(search(pieces, length, step), "suffix-found")
