@@ -192,7 +192,28 @@ def searched(labelled: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = labelled.withColumn("g", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cells = placed.select("bucket", "band", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "g", "cls", "root")
-    full = cells.join(sketches.select("cls", "registers"), "cls").join(sets.select("cls", "shingles"), "cls")
+    # First by registers alone: members of which no pair is plausible need not bring their sets.
+    light = cells.join(sketches.select("cls", "n", "registers"), "cls")
+
+    def sift(table: pa.Table) -> pa.Table:
+        i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
+        g, root = table.column("g").to_numpy(), table.column("root").to_numpy()
+        size = table.column("n").to_numpy().astype(float)
+        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(-1, M)
+        keys, keep = band_keys(regs), np.zeros(len(g), bool)
+        right = np.flatnonzero(g == j)
+        for x in np.flatnonzero(g == i).tolist():
+            y = right[right > x] if i == j else right
+            y = y[(root[y] != root[x]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))]
+            y = y[~(keys[y, :band] == keys[x, :band]).any(1)]  # a pair belongs to its first common band
+            if len(y):
+                y = y[plausible(np.full(len(y), size[x]), size[y], regs[x][None, :], regs[y], percent / 100)]
+                keep[y] = True
+                keep[x] |= len(y) > 0
+        return table.select(["bucket", "band", "i", "j", "g", "cls", "root"]).filter(pa.array(keep))
+
+    left = light.groupBy("bucket", "i", "j").applyInArrow(sift, "bucket long, band int, i int, j int, g int, cls long, root long")
+    full = written(left, "near-left").join(sketches.select("cls", "registers"), "cls").join(sets.select("cls", "shingles"), "cls")
 
     def run(table: pa.Table) -> pa.Table:
         i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
