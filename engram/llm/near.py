@@ -82,7 +82,17 @@ def log_likelihood(share: np.ndarray, j: np.ndarray, above: np.ndarray, below: n
 
 
 def plausible(n_a: np.ndarray, n_b: np.ndarray, regs_a: np.ndarray, regs_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether the joint likelihood leaves room for a similarity of ``threshold`` or more."""
+    """Whether the joint likelihood leaves room for a similarity of ``threshold`` or more.
+
+    Registers agree with a probability of at least the similarity, so that too few that agree, by as many
+    standard deviations, rule it out before any likelihood is computed."""
+    agree = (regs_a == regs_b).sum(1)
+    out = agree >= M * threshold - SIGMAS * math.sqrt(M * threshold * (1 - threshold))
+    if out.any() and not out.all():
+        side = regs_a[out] if len(regs_a) == len(out) else regs_a
+        out[out] = plausible(n_a[out], n_b[out], side, regs_b[out], threshold)
+    if not out.all():
+        return out
     above, below = (regs_a > regs_b).sum(1), (regs_a < regs_b).sum(1)
     share = n_a / (n_a + n_b)
     most = np.minimum(n_a, n_b) / np.maximum(n_a, n_b)
