@@ -413,7 +413,7 @@ def test_assignments():
     text = 'KEY_MATERIAL = "x9Kq2mZp7LwT4"\nconn = KEY_MATERIAL\ndb_password = conn\nname = "John Smith 12"\ncolor: "blue-green-77"\npassword = "changeme"\na = b\nb = a\n'
     assert [text[a:b] for a, b, k in secrets.scan(text) if k == "named"] == ["x9Kq2mZp7LwT4"]
     assert secrets.redact("abc password=12345678 def", secrets.scan("abc password=12345678 def")) == "abc [SECRET] def"
-    assert secrets.scan("") == [] and secrets.scan("a" * 200_000 + " = ") == []
+    assert secrets.scan("") == [] and secrets.scan("z" * 200_000 + " = ") == []
 
 
 def test_secret_digest(docs, empty):
