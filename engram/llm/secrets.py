@@ -4,7 +4,8 @@
 
 - ``assign``, ``access``, ``hex``: fixed patterns, leftmost and non-overlapping for each kind.
 - ``named``: the method's own. Source and configuration syntax (``name = "x"``, ``name: x``,
-  ``"name": "x"``, ``name := x``, ``name => x``) is lexed into pairs. A pair whose value is a name that the
+  ``"name": "x"``, ``name := x``, ``name => x``, ``a["name"] = x``, ``name: type = "x"``) is lexed into pairs;
+  literals may have prefixes, triple quotes, and stand behind opening brackets or on the next line. A pair whose value is a name that the
   same text assigns passes on that name's literal (constants propagate through any chain; a cycle ends
   it). A literal is scored by the most sensitive name that it reaches, times how much it looks like a
   secret; those of ``LEAST`` or more are spans of the literal without its quotes.
@@ -36,8 +37,23 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # A maximal run of hex digits: the same matches as runs of any length of which short ones are dropped.
 HEX = re.compile(r"[0-9a-f]{32,}")
 HEX_BYTES = bytes(104 if x in b"0123456789abcdef" else 32 for x in range(256))
-# A name starts where a run of name characters does and is taken whole, so that long runs take linear time.
-PAIR = re.compile(r"""(?<![A-Za-z0-9_.\-])[-.]*([A-Za-z_][A-Za-z0-9_.\-]*+)["'\]]?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[^\s"',;(){}\[\]<>]+)""")
+# A literal: a prefix such as f or b, then triple or single quotes. Possessive, so that a failed look-ahead ends it.
+QUOTED = r"""(?:[rR][bBfF]|[bBfF][rR]|[rRbBuUfFL]|u8|[$@]{1,2})?(?:\"{3}(?:[^"\\]|\\.|"(?!""))*+\"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*+'{3}|"(?:[^"\\\n]|\\[^\n])*+"|'(?:[^'\\\n]|\\[^\n])*+')"""
+# A type: a dotted name with at most three levels of brackets, alternatives joined by |.
+_IN = r"\[(?:[^\[\]\n=]|\[(?:[^\[\]\n=]|\[[^\[\]\n=]*+\])*+\])*+\]|<(?:[^<>\n=]|<(?:[^<>\n=]|<[^<>\n=]*+>)*+>)*+>"
+_ATOM = rf"&?(?:'[a-z]++[ \t]+)?(?:mut[ \t]+)?[A-Za-z_](?:[\w.]|::)*+(?:{_IN})?(?:\[\])*+\??"
+TYPE = rf"{_ATOM}(?:[ \t]*\|[ \t]*{_ATOM})*+"
+# A name starts where a run of name characters does and is taken whole, so that long runs take linear time. It may be a
+# key in a subscript and have a type. A literal may stand behind opening brackets and line breaks, unless it is
+# itself a key; an unquoted value may stand alone on the next line, indented, behind a colon.
+PAIR = re.compile(
+    rf"""(?<![A-Za-z0-9_.\-])[-.]*([A-Za-z_][A-Za-z0-9_.\-]*+)(?:["']?[ \t]*\]|["']|\[\d*\]|[ \t]+(?:\[\]byte|string)(?=[ \t]*=))?[ \t]*"""
+    rf"""(?::[ \t]*+{TYPE}[ \t]*=(?![=>])(?=[ \t\r\n(\[{{\\]*+(?:{QUOTED}))|:=|=>|=(?!=)|:(?!:))[ \t]*"""
+    rf"""(?:(?P<open>(?:[ \t\r\n(\[{{]|\\\r?\n)*+)(?P<quoted>{QUOTED})(?!\s*+(?::(?!:)|=>?))|(?P<next>(?:[|>][+\-]?)?[ \t]*\r?\n[ \t]+(?P<alone>[^\s"',;(){{}}\[\]<>:=]+)(?=[ \t]*\r?(?:\n|\Z)))|(?P<plain>[^\s"',;(){{}}\[\]<>]+))""",
+    re.DOTALL,
+)
+MORE = re.compile(rf"[\s,]*+({QUOTED})(?!\s*+(?::(?!:)|=>?))", re.DOTALL)
+FIELD = re.compile(r"\{[^{}]*\}")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: How sensitive a part of a name is.
@@ -73,14 +89,39 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def unquoted(text: str, start: int, end: int) -> tuple[str, int, int]:
+    """(value, start, end) of a literal without prefix and quotes, triple ones also without outer white space.
+
+    The value of a formatted literal is without its replacement fields."""
+    at = start
+    while text[at] not in "\"'":
+        at += 1
+    q = 3 if end - at >= 6 and text[at : at + 3] in ('"""', "'''") else 1
+    formatted = "f" in text[start:at].lower()
+    start, end = at + q, end - q
+    if q == 3:
+        while start < end and text[start].isspace():
+            start += 1
+        while start < end and text[end - 1].isspace():
+            end -= 1
+    value = text[start:end]
+    return FIELD.sub("", value) if formatted else value, start, end
+
+
 def pairs(text: str) -> list[tuple[str, str, int, int, bool]]:
-    """(name, value, start, end, quoted) of every assignment, in order."""
+    """(name, value, start, end, quoted) of every assignment, in order; each literal of a bracketed list is one."""
     out = []
     for m in PAIR.finditer(text):
-        value, start, end = m[2], m.start(2), m.end(2)
-        if quoted := value[0] in "\"'" and len(value) >= 2:
-            value, start, end = value[1:-1], start + 1, end - 1
-        out.append((m[1], value, start, end, quoted))
+        if m["quoted"] is None:
+            g = "plain" if m["plain"] is not None else "alone"
+            out.append((m[1], m[g], m.start(g), m.end(g), False))
+            continue
+        out.append((m[1], *unquoted(text, m.start("quoted"), m.end("quoted")), True))
+        if any(c in m["open"] for c in "([{"):
+            at = m.end()
+            while more := MORE.match(text, at):
+                out.append((m[1], *unquoted(text, more.start(1), more.end(1)), True))
+                at = more.end()
     return out
 
 
