@@ -8,7 +8,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .categories import CANONICAL, LOWER, NAMES
+
+#: The first fifteen are the reference's; (?U) takes white space as Python does.
 INJECTION = (
+    r"(?iU)ignore\s+(all\s+)?previous\s+(instructions?|prompts?|rules?)",
+    r"(?iU)ignore\s+(the\s+)?(above|system|prior)\s+",
+    r"(?iU)you\s+are\s+now\s+",
+    r"(?iU)new\s+instructions?\s*:",
+    r"(?iU)forget\s+(all\s+)?(your\s+)?(instructions?|rules?|constraints?)",
+    r"(?iU)override\s+(system|safety|security)",
+    r"(?iU)jailbreak",
+    r"(?iU)do\s+anything\s+now",
+    r"(?iU)act\s+as\s+(if\s+you\s+are\s+|a\s+)?(?!the\s+knowledge)",
+    r"(?iU)pretend\s+(to\s+be|you\s+are)",
+    r"(?iU)bypass\s+(your\s+)?(restrictions?|rules?|filters?)",
+    r"(?iU)reveal\s+(your\s+)?(system\s+prompt|instructions?)",
+    r"(?iU)what\s+(is|are)\s+your\s+(system\s+)?instructions?",
+    r"(?iU)repeat\s+(the\s+)?(system\s+)?prompt",
+    r"(?iU)print\s+(your\s+)?(system\s+)?prompt",
     r"(?i)ignore (all |any )?(previous|prior|above) (instructions|prompts?)",
     r"(?i)disregard (all |any |the )?(previous|prior|above)",
     r"(?i)forget (everything|all|your) (you|instructions|above)",
@@ -20,8 +38,22 @@ INJECTION = (
     r"(?i)new (system )?instructions?:",
     r"(?i)act as (if|though|a|an) (?!soon)",
 )
-GENERIC_NAMES = ("server", "client", "file", "code", "data", "user", "test", "project", "system", "app", "error", "function", "database", "api")
-NOISE = (r"^[0-9.,:\s%-]+$", r"^(feature|fix|bugfix|hotfix|release)/", r"\(\)$", r"^--?[a-z]", r"^[a-z]+\.[a-z]+$", r"^(urls?|readme|index|main)\.[a-z]+$", r"^[0-9]+ ?(dpi|px|x[0-9]+)$", r"^(get|set|is|has|on|handle)[A-Z]", r"^[a-z]+ (color|size|name|value|button)$")
+GENERIC_NAMES = (
+    "main", "fix", "update", "test", "bug", "feature", "release", "merge", "commit", "branch", "tag", "none", "null", "true", "false", "yes", "no",
+    "unknown", "default", "master", "develop", "head", "base", "origin", "main street", "project", "agent", "server", "client", "frontend", "backend",
+    "api", "database", "file", "code", "script", "function", "model", "config", "configuration", "configuration files", "server logic", "cli scripts",
+    "comment", "request_changes", "review", "pull request", "issue", "error", "warning", "info", "debug", "log", "output", "input", "data", "result",
+    "response", "request", "query", "search", "session", "venv", "__pycache__", "self", "cls", "args", "kwargs", "module", "package", "class", "method",
+    "variable", "parameter", "object", "instance", "constructor", "prototype", "callback", "promise", "async", "await", "import", "export", "return",
+    "div", "span", "button", "form", "table", "body", "header", "footer", "container", "wrapper", "content", "sidebar", "modal", "dialog", "user",
+    "system", "app",
+)
+VERBS = "get|set|on|handle|update|create|load|init|dispatch|enforce|dispose|is|has|should|can|will|fetch|render|toggle|parse|validate|process|compute|calculate|check|find|show|hide|enable|disable"
+#: Each holds the reference's pattern of the same kind; those that name cases are case-sensitive.
+NOISE = (
+    r"^[0-9.,:/\s%-]+$", r"^(feature|fix|agent|bugfix|hotfix|release|develop)/", r"\(\)$", r"(?U)^--?\w", r"(?U)^[\w-]+\.[\w-]+$", r"(?U)^\w+\.(txt|log|tmp|bak|csv|json|xml|yaml|yml|ini|cfg|conf)$",
+    r"(?U)^\d+\s*(ppi|dpi|px|pt|em|rem|%)$", r"^[0-9]+ ?x[0-9]+$", rf"^({VERBS})[A-Z][a-zA-Z0-9]*$", r"(?U)^(the |a |an )?\w+\s+(color|mode|size|type|name|value|data|list|set|map|view|state|style|config|option|button)s?$",
+)
 
 
 def is_noise(name: Column, allowed: Sequence[str] = ("Vue.js", "Node.js", "Next.js")) -> Column:
@@ -105,14 +137,9 @@ def chunked(documents: DataFrame, most: int = 6000, overlap: int = 500, tail: bo
     return documents.select("id", "content").mapInPandas(run, "id long, chunk_index long, chunk_total long, chunk_offset long, chunk string")
 
 
-#: Canonical categories, and other names for them (fixed values of this engine).
-CANONICAL = ("debugging", "architecture", "data", "backend", "frontend", "infrastructure", "patterns", "security", "documentation", "insight")
-SYNONYMS = {"debug": "debugging", "bug": "debugging", "bugfix": "debugging", "design": "architecture", "database": "data", "sql": "data", "server": "backend", "ui": "frontend", "css": "frontend", "devops": "infrastructure", "docker": "infrastructure", "pattern": "patterns", "best-practice": "patterns", "auth": "security", "docs": "documentation", "learning": "insight"}
-
-
 def category_of(value: Column) -> Column:
-    """Exact canonical name, then a known other name, then the first canonical name that the value holds, else as it is, lower-cased."""
-    low = F.lower(F.trim(value))
-    known = F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv])
+    """Exact known name, then canonical or known name in lower case, then the first canonical name that the value holds, else as it is, lower-cased."""
+    low = F.lower(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""))
+    known = lambda names, x: F.element_at(F.create_map(*[F.lit(y) for kv in names.items() for y in kv]), x)
     held = [F.when(low.contains(c), F.lit(c)) for c in CANONICAL]
-    return F.when(low.isin(list(CANONICAL)), low).otherwise(F.coalesce(F.element_at(known, low), *held, low))
+    return F.coalesce(known(NAMES, value), F.when(low.isin(list(CANONICAL)), low), known(LOWER, low), *held, low)
