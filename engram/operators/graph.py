@@ -53,23 +53,66 @@ def weights(relations: DataFrame) -> DataFrame:
     return relations.where("valid and source_id <> target_id").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), c.alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
-def communities(relations: DataFrame, rounds: int = 8, least: int = 3) -> DataFrame:
-    """(node, community): local moves that raise modularity, after Blondel and others, 2008.
+def communities(relations: DataFrame, rounds: int | None = None, least: int = 3) -> DataFrame:
+    """(node, community): local moves that raise modularity, then the same on contracted communities, after Blondel and others, 2008.
 
-    In each round every node names the neighbouring community of greatest gain; nodes of one half of a
-    hash move, so that neighbours rarely swap. Ties go to the lesser community. Small communities go."""
+    Rounds of moves end when no node gains (or after ``rounds`` of a level, where given), levels when none
+    of their nodes does. Ties go to the lesser community. Small communities go."""
     w = cut(weights(relations), "weights")
     total = w.agg(F.sum("w")).first()[0] or 0.0
     both = w.unionByName(w.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     strength = cut(both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")), "strength")
-    label = strength.select("node", F.col("node").alias("community"), "k")
-    for r in range(rounds if total else 0):
+    members = strength.select("node", F.col("node").alias("community"))
+    while total and (label := _moved(both, strength, total, rounds)) is not None:
+        named = label.select(F.col("node").alias("community"), F.col("community").alias("joined"))
+        members = cut(members.join(named, "community", "left").select("node", F.coalesce("joined", "community").alias("community")), "communities")
+        ends = lambda end: label.select(F.col("node").alias(end), F.col("community").alias(f"{end}_in"))  # noqa: E731, B023
+        linked = both.join(ends("a"), "a").join(ends("b"), "b").where("a_in <> b_in")
+        both = cut(linked.groupBy(F.col("a_in").alias("a"), F.col("b_in").alias("b")).agg(F.sum("w").alias("w")), "contracted")
+        strength = cut(strength.join(label.select("node", "community"), "node").groupBy(F.col("community").alias("node")).agg(F.sum("k").alias("k")), "strength")
+    sizes = members.groupBy("community").agg(F.count("*").alias("members"), F.min("node").alias("least")).where(F.col("members") >= least)
+    return members.join(sizes, "community").select("node", F.col("least").alias("community"), "members")
+
+
+def _moved(both: DataFrame, strength: DataFrame, total: float, rounds: int | None) -> DataFrame | None:
+    """(node, community) of linked nodes when none gains any more, or None where none gains from the start.
+
+    In each round all nodes of a share of a hash move at once; should that not raise modularity, as when
+    neighbours swap, fewer do, and at last only moves no two of which touch one community: their gains add
+    up, so that every round raises modularity and the rounds end."""
+
+    def weighed(label: DataFrame) -> tuple[DataFrame, float, int]:
+        """Each node's best move, the part of modularity that moves change, and how many nodes gain."""
         size = label.groupBy("community").agg(F.sum("k").alias("sigma"))
+        own = label.join(size, "community").select("node", F.col("community").alias("now"), "k", F.col("sigma").alias("sigma_now"))
         links = both.join(label.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("w").alias("inside"))
-        own = label.select("node", F.col("community").alias("now"), "k")
-        gain = links.join(own, "node").join(size, "community").withColumn("gain", F.col("inside") - F.col("k") * (F.col("sigma") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0.0)) / (2 * total))
-        best = gain.groupBy("node").agg(F.max_by("community", F.struct("gain", (-F.col("community")).alias("t"))).alias("best"), F.max("gain").alias("gain"), F.coalesce(F.max(F.when(F.col("community") == F.col("now"), F.col("gain"))), F.lit(0.0)).alias("stay"))
-        moves = (F.col("gain") > F.col("stay") + 1e-12) & (F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0)
-        label = cut(label.join(best, "node", "left").select("node", F.when(moves, F.col("best")).otherwise(F.col("community")).alias("community"), "k"), "communities")
-    sizes = label.groupBy("community").agg(F.count("*").alias("members"), F.min("node").alias("least")).where(F.col("members") >= least)
-    return label.join(sizes, "community").select("node", F.col("least").alias("community"), "members")
+        here = F.col("community") == F.col("now")
+        gain = links.join(own, "node").join(size, "community").withColumn("gain", F.col("inside") - F.col("k") * (F.col("sigma") - F.when(here, F.col("k")).otherwise(0.0)) / (2 * total))
+        stay = F.coalesce(F.max(F.when(here, F.col("gain"))), F.first(-F.col("k") * (F.col("sigma_now") - F.col("k")) / (2 * total)))
+        best = gain.groupBy("node", "now", "k", "sigma_now").agg(F.max_by("community", F.struct("gain", (-F.col("community")).alias("t"))).alias("best"), F.max("gain").alias("gain"), stay.alias("stay"), F.sum(F.when(here, F.col("inside")).otherwise(0.0)).alias("inside"))
+        step = cut(best.withColumn("moves", (F.col("best") != F.col("now")) & (F.col("gain") > F.col("stay") + 1e-9 * total)), "moves")
+        row = step.agg(F.sum(F.col("inside") - F.col("k") * F.col("sigma_now") / (2 * total)).alias("q"), F.count_if("moves").alias("n")).first()
+        return step, row.q or 0.0, row.n
+
+    def apart(step: DataFrame) -> DataFrame:
+        """The moves that gain most in both communities that they touch."""
+        moves = step.where("moves").select("node", "now", "best", F.struct(F.col("gain") - F.col("stay"), -F.col("node")).alias("rank"))
+        top = moves.select(F.explode(F.array("now", "best")).alias("c"), "node", "rank").groupBy("c").agg(F.max_by("node", "rank").alias("node"))
+        alone = moves.join(top, ["node"]).groupBy("node").agg(F.count("*").alias("tops")).where("tops = 2").select("node", F.lit(True).alias("chosen"))
+        return step.drop("moves").join(alone, "node", "left").withColumn("moves", F.coalesce("chosen", F.lit(False)))
+
+    step, q, n = weighed(strength.select("node", F.col("node").alias("community"), "k"))
+    if not n:
+        return None
+    made, tries = 0, 0
+    while n and (rounds is None or made < rounds):
+        for share in (2, 8, None):
+            tries += 1
+            chosen = apart(step) if share is None else step.withColumn("moves", F.col("moves") & (F.pmod(F.xxhash64("node", F.lit(tries)), F.lit(share)) == 0))
+            after = weighed(chosen.select("node", F.when(F.col("moves"), F.col("best")).otherwise(F.col("now")).alias("community"), "k"))
+            if after[1] > q:
+                break
+        else:  # what is left to gain is lost in rounding
+            break
+        (step, q, n), made = after, made + 1
+    return step.select("node", F.col("now").alias("community"))
