@@ -43,8 +43,8 @@ def tokens(column: str) -> Column:
     return F.filter(F.split(F.lower(F.col(column)), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def text_search(memories: DataFrame, query: str, k: int) -> DataFrame:
-    """Rows that hold all words, by summed term frequency over log length.
+def text_search(memories: DataFrame, query: str, k: int | None) -> DataFrame:
+    """Rows that hold all words, by summed term frequency over log length; all of them, in no order, where k is None.
 
     Extra syntax: "quoted phrases", or between alternatives, -word for words that must not occur."""
     t = tokens("content")
@@ -64,7 +64,8 @@ def text_search(memories: DataFrame, query: str, k: int) -> DataFrame:
         good = good & ~hit(alternatives[0])
     words = sorted({w for g in groups for p in g for w in p})
     found = F.size(F.filter(t, lambda x: x.isin(words)))
-    return memories.where(good).withColumn("rank_score", found / F.log(F.size(t) + F.lit(math.e))).orderBy(F.desc("rank_score"), F.desc("importance"), "id").limit(k)
+    hits = memories.where(good).withColumn("rank_score", found / F.log(F.size(t) + F.lit(math.e)))
+    return hits if k is None else hits.orderBy(F.desc("rank_score"), F.desc("importance"), "id").limit(k)
 
 
 def _parsed(query: str) -> list[tuple[bool, list[list[str]]]]:

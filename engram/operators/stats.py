@@ -43,12 +43,13 @@ def feedback_totals(outcomes: DataFrame, memories: DataFrame, as_of: str) -> Dat
     return o.join(memories.agg(F.count_if(F.col("category") == "_archived").alias("archived"), F.count_if(F.col("created_at") >= ago(as_of, 1)).alias("last_day")))
 
 
-def hot_topics(signals: DataFrame, as_of: str, decay_days: float, k: int, least: float = 0.1) -> DataFrame:
-    """Strength decayed by age over the last three decay periods."""
+def hot_topics(signals: DataFrame, as_of: str, decay_days: float, k: int | None = None, least: float = 0.1) -> DataFrame:
+    """Strength decayed by age over the last three decay periods; all topics, in no order, where k is None."""
     age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("created_at")) / 86400e6
     recent = signals.where(F.col("created_at") >= ago(as_of, 3 * decay_days))
     scored = recent.groupBy("topic").agg(F.sum(F.col("strength") * F.exp(-age / decay_days)).alias("score"), F.count("*").alias("n"), F.max("created_at").alias("last"))
-    return scored.where(F.col("score") > least).orderBy(F.desc("score"), "topic").limit(k)
+    hot = scored.where(F.col("score") > least)
+    return hot if k is None else hot.orderBy(F.desc("score"), "topic").limit(k)
 
 
 def last_seen(events: DataFrame, key: str) -> DataFrame:

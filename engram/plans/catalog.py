@@ -310,7 +310,7 @@ def feedback_totals(t):
 
 @query(f"SELECT topic, round(sum(strength * exp(-((epoch_us({TS}) - epoch_us(created_at)) / 86400e6) / 30.0)), 4) AS score, count(*) AS n FROM interest_signals WHERE created_at >= {TS} - INTERVAL 90 DAY GROUP BY 1 HAVING sum(strength * exp(-((epoch_us({TS}) - epoch_us(created_at)) / 86400e6) / 30.0)) > 0.1")
 def hot_topics(t):
-    return stats.hot_topics(t.interest_signals, AS_OF, 30.0, 1000).select("topic", F.round("score", 4).alias("score"), "n")
+    return stats.hot_topics(t.interest_signals, AS_OF, 30.0).select("topic", F.round("score", 4).alias("score"), "n")
 
 
 @query("SELECT topic, epoch_us(max(created_at)) AS last FROM interest_signals GROUP BY 1")
@@ -372,7 +372,7 @@ def text_recall(t):
 @query(f"SELECT id, len(list_filter({TOK}, lambda x: x IN ('attion', 'thtion'))) AS hits FROM memories WHERE (list_contains({TOK}, 'attion') OR list_contains({TOK}, 'thtion')) AND NOT list_contains({TOK}, 'ertion')")
 def text_recall_syntax(t):
     t_ = retrieval.tokens("content")
-    return retrieval.text_search(t.memories, "attion or thtion -ertion", 1_000_000).select("id", F.size(F.filter(t_, lambda x: x.isin("attion", "thtion"))).cast("long").alias("hits"))
+    return retrieval.text_search(t.memories, "attion or thtion -ertion", None).select("id", F.size(F.filter(t_, lambda x: x.isin("attion", "thtion"))).cast("long").alias("hits"))
 
 
 @query(f"""SELECT id, round(sum(1.0 / (60 + rank)), 6) AS score, count(*) AS lists FROM (SELECT id, row_number() OVER (ORDER BY relevance DESC, id) AS rank FROM ({NEAR % (90, 30)})
