@@ -1,7 +1,8 @@
 """Hierarchical residual packing of documents into sequences of at most ``size`` tokens.
 
 Each partition encodes its documents, cuts only those longer than ``size`` (the first piece takes what is
-left over, the others are full), and packs its pieces best-fit by falling length. Nearly full sequences
+left over, the others are full), and packs its pieces best-fit by falling length, a window of them at a
+time; sequences stay open to all windows of their partition. Nearly full sequences
 (within ``slack`` tokens) are final; underfull ones are items of the next round, where groups of ``FAN_IN``
 partitions' residues are merged best-fit, and so on up a tree to one root.
 
@@ -17,7 +18,9 @@ result; other columns are never read.
 
 from __future__ import annotations
 
+import tempfile
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +39,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 ROWS = f"{PIECES}, sequence_id long, offset long, open boolean, node long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_()), ("node", pa.int64())])
 
+PLACED = pa.schema(list(ARROW)[:7])
+
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces."""
@@ -68,6 +73,46 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return where, offset, np.array(fills, np.int64)
 
 
+class Bins:
+    """Sequences of one partition over all its windows: each window's pieces are placed best-fit by falling length.
+
+    Pieces come after those that a sequence has, so that of an open one only its name is held, by its space.
+    A piece opens a sequence only where it fits none, so that at most one is half full or less and
+    the names are no more than twice the partition's tokens over ``size``."""
+
+    def __init__(self, size: int, first: int):
+        self.size, self.next = size, first
+        self.by_space = [array("q") for _ in range(size + 1)]
+        self.spaces = 0  # bit r: some sequence has r tokens of space
+
+    def place(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each piece's sequence and offset."""
+        names, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        for i in np.argsort(-lengths, kind="stable").tolist():
+            n = int(lengths[i])
+            fitting = self.spaces >> n << n
+            if fitting:
+                r = (fitting & -fitting).bit_length() - 1
+                name = self.by_space[r].pop()
+                if not self.by_space[r]:
+                    self.spaces &= ~(1 << r)
+            else:
+                name, r = self.next, self.size
+                self.next += 1
+            names[i], offsets[i] = name, self.size - r
+            if r > n:
+                self.by_space[r - n].append(name)
+                self.spaces |= 1 << (r - n)
+        return names, offsets
+
+    def emptiest(self, most: int, slack: int) -> np.ndarray:
+        """At most so many of the sequences that have more than ``slack`` tokens of space, the emptiest."""
+        found: list[int] = []
+        for r in range(self.size, slack, -1):
+            found += self.by_space[r][: most - len(found)]
+        return np.array(found, np.int64)
+
+
 def still_open(fills: np.ndarray, size: int, slack: int, most: int) -> np.ndarray:
     """Which bins go on to the next round: underfull ones, the emptiest if there are more than ``most``."""
     under = fills < size - slack
@@ -83,43 +128,42 @@ def pack_partitions(documents: DataFrame, tokenizer: str, end_id: int, size: int
     """The first round: every piece's sequence within its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, node, made = encoder(tokenizer, LibraryBpe), TaskContext.get().partitionId(), 0
+        e, node = encoder(tokenizer, LibraryBpe), TaskContext.get().partitionId()
         end = int(end_id).to_bytes(4, "little")
-        carried: list[list] = []  # pieces of sequences that are still open: rows with their bin and offset
-        rows: list[tuple] = []
-
-        def packed(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal made, rows, carried
-            lengths = np.array([r[3] for r in rows] + [sum(p[3] for p in bin_) for bin_ in carried], np.int64)
-            where, offset, fills = best_fit(lengths, size)
-            opened = still_open(fills, size, slack, PASSED)
-            members: dict[int, list] = {}
-            for i, (b, o) in enumerate(zip(where.tolist(), offset.tolist())):
-                if i < len(rows):
-                    members.setdefault(b, []).append((*rows[i], o))
-                else:
-                    members.setdefault(b, []).extend((*p[:5], p[5] + o) for p in carried[i - len(rows)])
-            out, kept = [], []
-            for b, pieces in members.items():
-                if opened[b] and not last:
-                    kept.append(pieces)
-                else:
-                    out += [(*p[:5], node << 33 | made, p[5], bool(opened[b]), node) for p in pieces]
-                    made += 1
-            rows, carried = [], kept
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), ARROW.types)], schema=ARROW)
-
-        for b in batches:
-            ids, at = b.column(0).to_pylist(), 0
-            for group in in_groups(b.column(1).cast(pa.binary()).to_pylist()):
-                for doc_id, data in zip(ids[at : at + len(group)], e.encode(group)):
-                    data += end
-                    rows += [(doc_id, k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(data) // 4, size))]
-                at += len(group)
-                if len(rows) >= WINDOW:
-                    yield from packed(False)
-        yield from packed(True)
+        bins, rows = Bins(size, node << 33), []
+
+        def placed() -> pa.RecordBatch:
+            names, offsets = bins.place(np.array([r[3] for r in rows], np.int64))
+            columns = [pa.array(x, k) for x, k in zip(zip(*rows), PLACED.types)] or [pa.array([], k) for k in PLACED.types[:5]]
+            rows.clear()
+            return pa.RecordBatch.from_arrays([*columns, pa.array(names), pa.array(offsets)], schema=PLACED)
+
+        def closed(batch: pa.RecordBatch, opened: np.ndarray) -> pa.RecordBatch:
+            is_open = np.isin(batch.column(5).to_numpy(), opened)
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(is_open), pa.array(np.full(len(is_open), node))], schema=ARROW)
+
+        # Which sequences go up is known at the end alone, so full windows wait in a file of the task's own.
+        with tempfile.TemporaryFile() as file:
+            spill = None
+            for b in batches:
+                ids, at = b.column(0).to_pylist(), 0
+                for group in in_groups(b.column(1).cast(pa.binary()).to_pylist()):
+                    for doc_id, data in zip(ids[at : at + len(group)], e.encode(group)):
+                        data += end
+                        rows += [(doc_id, k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(data) // 4, size))]
+                    at += len(group)
+                    if len(rows) >= WINDOW:
+                        spill = spill or pa.ipc.new_stream(file, PLACED)
+                        spill.write_batch(placed())
+            last = placed()
+            opened = bins.emptiest(PASSED, slack)
+            if spill:
+                spill.close()
+                file.seek(0)
+                for batch in pa.ipc.open_stream(file):
+                    yield closed(batch, opened)
+            if last.num_rows:
+                yield closed(last, opened)
 
     return documents_of(documents).mapInArrow(run, ROWS)
 
