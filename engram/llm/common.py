@@ -6,10 +6,12 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,9 +20,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one is made and set only where none is named (tests)."""
+    """The cluster's shared folder. Where none is named, one is made on a single machine; a cluster must name one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="engram-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -30,7 +34,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_made: list[str] = []  # this process's tables in the shared folder that have not been discarded
+_collecting: ContextVar[list[str] | None] = ContextVar("collecting", default=None)
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The tables that the block writes, so that its caller can remove them, and only them, when done."""
+    made: list[str] = []
+    token = _collecting.set(made)
+    try:
+        yield made
+    finally:
+        _collecting.reset(token)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -38,7 +53,8 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    _made.append(path)
+    if (made := _collecting.get()) is not None:
+        made.append(path)
     out = spark.read.schema(schema).parquet(path)
     out._written = path  # for discard()
     return out
@@ -49,21 +65,49 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def discard(*tables: DataFrame) -> None:
+def discard(*tables: DataFrame | None) -> None:
     """Remove written tables that nothing reads any more."""
     for t in tables:
-        if (path := getattr(t, "_written", None)) in _made:
-            _made.remove(path)
+        if path := getattr(t, "_written", None):
             remove(t.sparkSession, path)
 
 
-def discard_all(spark: SparkSession, but: DataFrame) -> None:
-    """Remove all written tables that ``but`` does not read, for a caller that has used all other results."""
-    if _made:
-        read = {f.rsplit("/", 2)[-2] for f in but.inputFiles()}
-        for path in [p for p in _made if p.rsplit("/", 1)[-1] not in read]:
-            _made.remove(path)
-            remove(spark, path)
+SIEVE_BITS, SIEVE_HASHES = 1 << 26, 3
+
+
+def sieve(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``key`` long, of ``SIEVE_BITS`` bits whatever the number of keys: 64-bit words by partial aggregates."""
+    bit = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(k), "key"), F.lit(SIEVE_BITS)) for k in range(SIEVE_HASHES)]))
+    words = keys.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    got = words.toArrow()  # SIEVE_BITS / 64 rows at most
+    out = np.zeros(SIEVE_BITS // 64, np.int64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out
+
+
+def sifted(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose key may be among ``keys`` (key long), and the rows whose key is not.
+
+    The first are for a join that decides; the others need none, so that their texts are not shuffled. With so
+    many keys that most bits are set, all rows are among the first: more work, the same results."""
+    shared = df.sparkSession.sparkContext.broadcast(sieve(keys))  # SIEVE_BITS: a fixed size
+    places = [F.pmod(F.xxhash64(F.lit(k), key), F.lit(SIEVE_BITS)).alias(f"place{k}") for k in range(SIEVE_HASHES)]
+    placed, columns, width = df.select("*", *places), df.columns, len(df.columns)
+
+    def side(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = shared.value
+            for b in batches:
+                passed = np.ones(b.num_rows, bool)
+                for c in b.columns[width:]:
+                    place = c.to_numpy()
+                    passed &= (bits[place >> 6] >> (place & 63)) & 1 == 1
+                rows = pa.array(passed == wanted)
+                yield pa.RecordBatch.from_arrays([c.filter(rows) for c in b.columns[:width]], names=columns)
+
+        return placed.mapInArrow(run, df.schema)
+
+    return side(True), side(False)
 
 
 def documents_of(df: DataFrame) -> DataFrame:

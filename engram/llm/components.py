@@ -24,14 +24,16 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (its component's least node) for every node of ``edges`` (a long, b long). Loops and repeats do no harm."""
+    """node, root (its component's least node) for every node of ``edges`` (a long, b long), as a written table. Loops and repeats do no harm."""
     now = written(edges.select("a", "b").where("a <> b").distinct(), "cc-edges")
     before = None
     while True:
         # Rounds end when the edges no longer change; a star forest is a fixed point.
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state.n == 0 or before == (state.n, state.h):
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+            found = written(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct(), "cc-roots")
+            discard(now)
+            return found
         before, last = (state.n, state.h), now
         now = written(_stars(_stars(now, small=False), small=True), "cc-edges")
         discard(last)

@@ -10,12 +10,14 @@ spaced logarithm floor(1 - log_b(least h_i(x))), h_i exponentially distributed;
    (member, hub) pairs. A pair is dropped unverified only if the joint likelihood of its registers, at the
    exact set sizes, rules out the threshold by ``SIGMAS`` standard deviations; the rest is confirmed on
    the full sets, within the JVM. Confirmed links form components.
-3. Buckets that still hold several components are searched in full, in pairs of blocks of ``BLOCK``
-   members: every pair from different components that no earlier band shares is held against its full
-   sets, so that no candidate goes untested. Only links leave a task.
+3. Buckets that still hold several components are searched in full, in cells of two blocks of ``BLOCK``
+   members: every pair from different components that no earlier band shares is held against its registers,
+   and members of pairs that these do not rule out, in blocks of ``BLOCK_BYTES``, against the full sets, so
+   that no candidate goes untested. Pairs are formed inside a task; only links leave it.
 4. Components of all links, spread to all documents.
 
-No bucket is gathered whole: hubs are partial aggregates, joins on hot buckets or hubs can be split, and
+Full sets are made anew from the texts of candidates, which a Bloom filter of fixed size picks out while the
+texts are read, so that sets are shuffled but texts never are. No bucket is gathered whole: hubs are partial aggregates, joins on hot buckets or hubs can be split, and
 blocks are of bounded size.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing; a text of
@@ -29,21 +31,22 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents_of, groups, strings, written
+from .common import discard, documents_of, groups, sifted, strings, written
 from .components import components
 from .textvec import mixed, shingles, word_hashes
 
 M, ROWS = 128, 4
+BANDS = M // ROWS  # a power of two
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 SIGMAS = 5.0
-BLOCK = 512
+BLOCK, BLOCK_BYTES, SLICE = 512, 4 << 20, 1 << 17
 _RNG = np.random.default_rng(20240701)
 MULT = _RNG.integers(1, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLUS = _RNG.integers(0, 2**63, M, dtype=np.uint64)
@@ -125,22 +128,22 @@ def sketch_documents(documents: DataFrame, n: int) -> DataFrame:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(bucket, band, cls) of every band of every class."""
+    """(bucket, cls) of every band of every class; a bucket's lowest bits name its band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = M // ROWS
         for b in batches:
             key = band_keys(np.frombuffer(b"".join(b.column(1).to_pylist()), "<u2").reshape(-1, M))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.tile(np.arange(count, dtype=np.int32), len(key))), pa.array(np.repeat(b.column(0).to_numpy(), count))], ["bucket", "band", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], ["bucket", "cls"])
 
-    return classes.select("cls", "registers").mapInArrow(run, "bucket long, band int, cls long")
+    return classes.select("cls", "registers").mapInArrow(run, "bucket long, cls long")
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of each sketch."""
-    count = M // ROWS
-    whole = np.ascontiguousarray(regs).view("<u8").reshape(-1, count)
-    return mixed(whole ^ (np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    """A 64-bit key for each band of each sketch, the band's number in its lowest bits."""
+    whole = np.ascontiguousarray(regs).view("<u8").reshape(-1, BANDS)
+    band = np.arange(BANDS, dtype=np.uint64)
+    key = mixed(whole ^ ((band + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
+    return key & ~np.uint64(BANDS - 1) | band
 
 
 def likely(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -159,7 +162,6 @@ def likely(pairs: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    spark = documents.sparkSession
     sketched = written(sketch_documents(documents, n), "near-sketches")
     grouped = sketched.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("registers").alias("registers"))
     classes = written(grouped.withColumn("cls", F.monotonically_increasing_id()), "near-classes")
@@ -168,27 +170,29 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     several = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = written(buckets.join(several, "bucket"), "near-members")
     degree = members.groupBy("cls").agg(F.sum("size").alias("degree"))
-    sketches = written(classes.join(degree, "cls").select("cls", "n", "registers", "rep", "set_key", "degree"), "near-involved")
+    sketches = written(classes.join(degree, "cls").select("cls", "n", "registers", "rep", "set_key"), "near-involved")
     comp = None  # (node, root) of classes in a component of several
     if not sketches.isEmpty():
         sets = written(full_sets(documents, sketches, n), "near-sets")
         hubs = members.join(degree, "cls").groupBy("bucket").agg(F.max_by("cls", F.struct("degree", -F.col("cls"))).alias("hub"))
         pairs = members.join(hubs, "bucket").where("cls <> hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-        pairs = written(pairs, "near-pairs")
-        links = written(confirmed(pairs, sketches, sets, percent), "near-links")
-        comp = written(components(links), "near-components")
-        labelled = members.join(comp, F.col("cls") == F.col("node"), "left").select("bucket", "band", "cls", "size", F.coalesce("root", "cls").alias("root"))
+        links = confirmed(pairs, sketches, sets, percent)
+        comp = components(links)
+        labelled = members.join(comp, F.col("cls") == F.col("node"), "left").select("bucket", "cls", "size", F.coalesce("root", "cls").alias("root"))
         mixed_up = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        rest = written(searched(labelled.join(mixed_up, "bucket"), sketches, sets, percent), "near-rest")
+        rest = searched(labelled.join(mixed_up, "bucket"), sketches, sets, percent)
         if not rest.isEmpty():
-            comp = written(components(links.unionByName(rest)), "near-components")
-        discard(pairs, sets)
+            both = components(links.unionByName(rest))
+            discard(comp)
+            comp = both
+        discard(links, rest, sets)
     discard(members, sketches)
 
     rows = sketched.join(classes.select("set_key", "cls", "rep"), "set_key", "left").select("doc_id", "n_shingles", "cls", "rep")
     if comp is not None:
         rows = rows.join(comp, F.col("cls") == F.col("node"), "left").withColumn("cls", F.coalesce("root", "cls"))
     rows = written(rows.select("doc_id", "n_shingles", "cls", "rep"), "near-rows")
+    discard(sketched, classes, comp)
     same = repeated(rows)
     if same is not None:
         rows = rows.join(same, F.col("cls") == F.col("node"), "left").withColumn("cls", F.coalesce("root", "cls")).select("doc_id", "n_shingles", "cls", "rep")
@@ -198,60 +202,118 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
 
 
 def searched(labelled: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between components within buckets, each pair of a bucket's blocks in one bounded group."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = labelled.withColumn("g", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = placed.select("bucket", "band", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "g", "cls", "root")
-    # First by registers alone: members of which no pair is plausible need not bring their sets.
-    light = cells.join(sketches.select("cls", "n", "registers"), "cls")
-
-    def sift(table: pa.Table) -> pa.Table:
-        i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
-        g, root = table.column("g").to_numpy(), table.column("root").to_numpy()
-        size = table.column("n").to_numpy().astype(float)
-        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(-1, M)
-        keys, keep = band_keys(regs), np.zeros(len(g), bool)
-        right = np.flatnonzero(g == j)
-        for x in np.flatnonzero(g == i).tolist():
-            y = right[right > x] if i == j else right
-            y = y[(root[y] != root[x]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))]
-            y = y[~(keys[y, :band] == keys[x, :band]).any(1)]  # a pair belongs to its first common band
-            if len(y):
-                y = y[plausible(np.full(len(y), size[x]), size[y], regs[x][None, :], regs[y], percent / 100)]
-                keep[y] = True
-                keep[x] |= len(y) > 0
-        return table.select(["bucket", "band", "i", "j", "g", "cls", "root"]).filter(pa.array(keep))
-
-    left = light.groupBy("bucket", "i", "j").applyInArrow(sift, "bucket long, band int, i int, j int, g int, cls long, root long")
-    full = written(left, "near-left").join(sketches.select("cls", "registers"), "cls").join(sets.select("cls", "shingles"), "cls")
-
-    def run(table: pa.Table) -> pa.Table:
-        i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
-        g, ids, root = (table.column(c).to_numpy() for c in ("g", "cls", "root"))
-        keys = band_keys(np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(-1, M))
-        lists = table.column("shingles").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        at = lists.offsets.to_numpy()
-        values = np.unique(lists.values.to_numpy()[at[0] : at[-1]], return_inverse=True)[1]
-        at, size = at[:-1] - at[0], np.diff(at)
-        mark, out = np.zeros(int(values.max(initial=0)) + 1, bool), []
-        right = np.flatnonzero(g == j)
-        for x in np.flatnonzero(g == i).tolist():
-            y = right[right > x] if i == j else right
-            least, most = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-            y = y[(root[y] != root[x]) & (100 * least >= percent * most)]
-            y = y[~(keys[y, :band] == keys[x, :band]).any(1)]  # a pair belongs to its first common band
-            if not len(y):
-                continue
-            mark[values[at[x] : at[x] + size[x]]] = True
-            common = np.array([np.count_nonzero(mark[values[at[k] : at[k] + size[k]]]) for k in y.tolist()])
-            mark[values[at[x] : at[x] + size[x]]] = False
-            y = y[100 * common >= percent * (size[x] + size[y] - common)]
-            out += [(min(ids[x], k), max(ids[x], k)) for k in ids[y]]
+    """(a, b): links between components within buckets (bucket, cls, size, root), each pair of a bucket's blocks in one bounded cell.
+
+    First by registers alone: members of which no pair is plausible need not bring their sets. What is left is
+    dealt into blocks anew, by the bytes of its sets."""
+    light = cells(labelled, F.ceil(F.col("size") / BLOCK)).join(sketches.select("cls", "n", "registers"), "cls")
+
+    def sift(cell: Cells) -> pa.Table:
+        keep = np.zeros(len(cell.root), bool)
+        for x, y in cell.pairs(percent):
+            keep[x] = keep[y] = True
+        return cell.table.select(["bucket", "cls", "root", "n"]).filter(pa.array(keep))
+
+    left = written(over_cells(light, sift, "bucket long, cls long, root long, n long").distinct(), "near-left")
+    bytes_in = left.groupBy("bucket").agg(F.sum(F.col("n") * 8).alias("bytes"))
+    heavy = cells(left.join(bytes_in, "bucket"), F.ceil(F.col("bytes") / BLOCK_BYTES))
+    full = heavy.join(sketches.select("cls", "n", "registers"), "cls").join(sets.select("cls", "shingles"), "cls")
+
+    def verify(cell: Cells) -> pa.Table:
+        lists = cell.table.column("shingles").combine_chunks()
+        at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        ids, out = cell.table.column("cls").to_numpy(), []
+        for xs, ys in cell.pairs(percent):
+            for x, y in zip(xs.tolist(), ys.tolist()):
+                one, other = values[at[x] : at[x + 1]], values[at[y] : at[y + 1]]
+                place = np.searchsorted(other, one)
+                common = int(np.count_nonzero(other[np.minimum(place, len(other) - 1)] == one))
+                if 100 * common >= percent * (len(one) + len(other) - common):
+                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return full.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    found = written(over_cells(full, verify, "a long, b long").distinct(), "near-rest")
+    discard(left)
+    return found
+
+
+def cells(members: DataFrame, blocks) -> DataFrame:
+    """(bucket, i, j, g, cls, root): each member, of block g, once for each pair of blocks i <= j that holds its own."""
+    placed = members.withColumn("count", blocks.cast("int")).withColumn("g", F.pmod(F.xxhash64("cls"), F.col("count")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+    return placed.select("bucket", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "g", "cls", "root")
+
+
+def over_cells(rows: DataFrame, work: Callable[[Cells], pa.Table], schema: str) -> DataFrame:
+    """``work`` on whole cells, many small ones at a time; ``rows`` are dealt by cell and come sorted."""
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            kept = pa.concat_tables([kept, table]) if kept is not None else table
+            edge = cell_starts(kept)
+            if len(edge) > 1:  # the last cell may go on in the next batch
+                yield from work(Cells(kept.slice(0, edge[-1]), edge[:-1])).to_batches()
+                kept = kept.slice(edge[-1])
+        if kept is not None and kept.num_rows:
+            yield from work(Cells(kept, cell_starts(kept))).to_batches()
+
+    dealt = rows.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "g", "cls")
+    return dealt.mapInArrow(run, schema)
+
+
+def cell_starts(table: pa.Table) -> np.ndarray:
+    if not table.num_rows:
+        return np.zeros(0, np.int64)
+    new = np.ones(table.num_rows, bool)
+    new[1:] = False
+    for name in ("bucket", "i", "j"):
+        x = table.column(name).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+class Cells:
+    """Rows of whole cells, sorted by cell and block; pairs are formed a slice at a time."""
+
+    def __init__(self, table: pa.Table, starts: np.ndarray):
+        self.table = table
+        column = lambda name: table.column(name).to_numpy()
+        self.root, self.size, g = column("root"), column("n").astype(float), column("g")
+        self.regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(-1, M)
+        self.keys = band_keys(self.regs)
+        self.band = (column("bucket") & (BANDS - 1)).astype(np.int64)
+        rows = np.arange(table.num_rows)
+        end = np.append(starts[1:], table.num_rows)
+        cell = np.searchsorted(starts, rows, "right") - 1
+        # A row of block i meets the rows of block j: those after it in a cell of one block, else all of j.
+        left, one = g == column("i"), column("i") == column("j")
+        border = np.add.reduceat(left, starts) + starts if len(starts) else starts
+        self.first = np.where(one, rows + 1, border[cell])
+        self.count = np.where(left, end[cell] - self.first, 0)
+
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs from different components that no earlier band shares and that their registers do not rule out."""
+        done = np.concatenate([[0], np.cumsum(self.count)])
+        at = 0
+        while at < len(self.count):
+            to = max(at + 1, int(np.searchsorted(done, done[at] + SLICE, "right")) - 1)
+            count = self.count[at:to]
+            x = np.repeat(np.arange(at, to), count)
+            y = np.arange(len(x)) - np.repeat(done[at:to] - done[at], count) + np.repeat(self.first[at:to], count)
+            at = to
+            big, little = np.maximum(self.size[x], self.size[y]), np.minimum(self.size[x], self.size[y])
+            some = (self.root[x] != self.root[y]) & (100 * little >= percent * big)
+            x, y = x[some], y[some]
+            for k in range(0, len(x), SLICE >> 2):
+                u, v = x[k : k + (SLICE >> 2)], y[k : k + (SLICE >> 2)]
+                some = (self.keys[u] == self.keys[v]).argmax(1) == self.band[u]  # a pair belongs to its first common band
+                u, v = u[some], v[some]
+                if len(u):
+                    some = plausible(self.size[u], self.size[v], self.regs[u], self.regs[v], percent / 100)
+                    yield u[some], v[some]
 
 
 def repeated(rows: DataFrame) -> DataFrame | None:
@@ -263,9 +325,8 @@ def repeated(rows: DataFrame) -> DataFrame | None:
 
 
 def full_sets(documents: DataFrame, involved: DataFrame, n: int) -> DataFrame:
-    """cls, shingles array<long> of the involved classes, from one document of each."""
-    wanted = involved.select(F.col("rep").alias("doc_id")).distinct()
-    texts = documents_of(documents).join(wanted, "doc_id", "left_semi")
+    """cls, shingles array<long> of the involved classes, each from its documents of least identifier. No text is shuffled."""
+    texts, _ = sifted(documents_of(documents), F.col("doc_id"), involved.select(F.col("rep").alias("key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -276,15 +337,17 @@ def full_sets(documents: DataFrame, involved: DataFrame, n: int) -> DataFrame:
 
     found = texts.mapInArrow(run, "set_key binary, shingles array<long>")
     # A row of an identifier that repeats may bring the set of another class, or the same set twice.
-    return found.join(involved.select("set_key", "cls"), "set_key").groupBy("cls").agg(F.any_value("shingles").alias("shingles"))
+    return found.join(involved.select("set_key", "cls"), "set_key").groupBy("set_key", "cls").agg(F.any_value("shingles").alias("shingles"))
 
 
 def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
+    """(a, b), written: the pairs whose full sets reach the threshold."""
     one = lambda x: sketches.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"regs_{x}"))
     sized = pairs.join(one("a"), "a").join(one("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     left = written(likely(sized, percent / 100), "near-likely")
     full = lambda x: sets.select(F.col("cls").alias(x), F.col("shingles").alias(f"set_{x}"))
     common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     counted = left.join(full("a"), "a").join(full("b"), "b").select("a", "b", common.alias("i"), (F.size("set_a") + F.size("set_b")).cast("long").alias("s"))
-    return counted.where(f"100 * i >= {percent} * (s - i)").select("a", "b")
+    links = written(counted.where(f"100 * i >= {percent} * (s - i)").select("a", "b"), "near-links")
+    discard(left)
+    return links
