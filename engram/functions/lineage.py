@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` below spark.checkpoint.dir and read it back; a folder of its own is set only where none is named."""
+    """Write ``df`` below spark.checkpoint.dir and read it back. Where none is named, one is made on a single machine; a cluster must name one."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="engram-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
