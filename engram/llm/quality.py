@@ -3,8 +3,8 @@
 A text's words are runs of letters, of digits or of other marks, lower-cased for A-Z. Features are its
 distinct words and neighbouring pairs, hashed to 2^bits places, each with value 1 / sqrt(how many), and
 one of value 1 for how many n-grams it has and what share of them is distinct (both in steps).
-Training takes a bounded sample of labelled rows (``sample``), a documented parameter; scores are sparse
-dot products over whole texts.
+Training takes a bounded sample of labelled rows (``sample``, and ``places`` features of them together),
+documented parameters; features are found in tasks. Scores are sparse dot products over whole texts.
 
 Defined cases: a null text is an empty one; an empty text has no features and gets the bias alone; null
 identifiers are scored too, with a null ``held_out``; repeated rows are scored each for itself; no
@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, groups, strings
-from .labelled import fold, training_sample
+from .common import discard, documents_of, groups, strings
+from .labelled import fold, training_sample, within
 from .textvec import KINDS, mixed, word_hashes
 
 GROUP_BYTES = 1 << 20
@@ -71,20 +71,26 @@ def shape_of(distinct: np.ndarray, total: np.ndarray, bits: int) -> np.ndarray:
     return (mixed((share * 64 + size + 1).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def train(rows: list[tuple[bytes, int]], bits: int = 20, alpha: float = 4.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 3) -> FtrlModel:
-    """FTRL-proximal with a rate for each coordinate, over the rows in the order given, ``epochs`` times."""
-    positive = sum(y for _, y in rows)
+def places_of(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of each text's features, its length and distinct share last."""
+    at, feature, shape = features(data, offsets, bits)
+    row = np.concatenate([at, np.arange(len(shape))])
+    order = np.argsort(row, kind="stable")
+    return row[order], np.concatenate([feature, shape])[order]
+
+
+def train(rows: list[tuple[int, np.ndarray]], bits: int = 20, alpha: float = 4.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 3) -> FtrlModel:
+    """FTRL-proximal with a rate for each coordinate, over the rows (label, places) in the order given, ``epochs`` times."""
+    positive = sum(y for y, _ in rows)
     if positive in (0, len(rows)):
         return FtrlModel(np.zeros(0, np.float32), 0.0, bits, (positive + 1) / (len(rows) + 2))
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     seen = []
-    for text, y in rows:
-        data = np.frombuffer(text, np.uint8)
-        _, f, shape = features(data, np.array([0, len(data)]), bits)
-        value = np.full(len(f) + 2, 1 / np.sqrt(max(len(f), 1)))
+    for y, f in rows:
+        value = np.full(len(f) + 1, 1 / np.sqrt(max(len(f) - 1, 1)))
         value[-2:] = 1
-        seen.append((np.concatenate([f, shape, [size]]), value, y))
+        seen.append((np.append(f, size), value, y))
 
     def weight(f: np.ndarray) -> np.ndarray:
         zf = z[f]
@@ -103,10 +109,12 @@ def train(rows: list[tuple[bytes, int]], bits: int = 20, alpha: float = 4.0, bet
     return FtrlModel(w[:-1].astype(np.float32), float(w[-1]), bits)
 
 
-def fit_quality(documents: DataFrame, labels: DataFrame, sample: int = 6000, bits: int = 20, folds: int = 3, held_out: int = 1) -> FtrlModel:
-    """Learn from at most ``sample`` labelled rows outside the held-out fold."""
-    rows = training_sample(documents, labels, "quality", folds, held_out, sample).collect()
-    return train([(r.text.encode(), r.y) for r in rows], bits)
+def fit_quality(documents: DataFrame, labels: DataFrame, sample: int = 6000, places: int = 1 << 25, bits: int = 20, folds: int = 3, held_out: int = 1) -> FtrlModel:
+    """Learn from at most ``sample`` labelled rows outside the held-out fold, of at most ``places`` features."""
+    chosen = training_sample(documents, labels, "quality", folds, held_out, sample, lambda data, offsets: places_of(data, offsets, bits))
+    rows = within(chosen, sample, places)
+    discard(chosen)
+    return train(rows, bits)
 
 
 def score_quality(documents: DataFrame, model: FtrlModel) -> DataFrame:
