@@ -2,18 +2,21 @@
 
 Every byte covered by a ``LENGTH``-byte string that starts in two places is removed. The steps:
 
-1. Cut: the windows of LENGTH bytes of a text fall into runs whose least 32-byte hash is the same. Equal
-   windows have equal least hashes, so a run need only be held against runs of its own hash, and most
-   hashes occur once: their runs are done, unless the hash recurs within the run (a periodic passage).
+1. Cut: the windows of LENGTH bytes of a text fall into runs whose least hash of ``SEED`` of a window is the
+   same. Equal windows have equal least hashes, so a run need only be held against runs of its own hash, and
+   most hashes occur once: their runs are done, unless the hash recurs within the run (a periodic passage).
 2. Runs with equal bytes are repeated as a whole; they are counted, not gathered.
 3. What is left are runs of different bytes under one hash, each distinct one once. Hashes with many of
-   them are split further, by longer least hashes (the more runs, the longer), so that no group is large.
+   them are cut again by longer parts of the window, and equal cuts counted again, level by level: at the last
+   one a cut is a single window, of which one under a hash is left. So no group is large.
 4. In groups of whole hashes: texts become chains of ``STEP``-byte symbols, one chain for each residue, so
    that every position has its suffix. Each shard's transform is built on its own; the transforms are merged
    by interleave refinement, in which pass t orders the merged suffixes by t symbols by one stable
    distribution of the transforms' symbols, and boundaries first seen in pass t have a common prefix of
-   t - 1 symbols. After LENGTH / STEP passes an interval of two or more suffixes is a repeated string.
-5. Found windows are joined back to their documents.
+   t - 1 symbols. Suffixes whose common prefix with a neighbour is LENGTH / STEP symbols or more form the
+   repeated intervals.
+5. Found windows are joined back to their documents. Texts that have none, as a filter of fixed size tells,
+   are not shuffled.
 
 Defined cases: a null text is an empty one; texts under LENGTH bytes keep everything; matches never cross
 documents; the same document counts as another place; repeated rows are copies of each other, so all
@@ -31,14 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents_of, strings, written
+from .common import discard, documents_of, sifted, strings, written
 from .textvec import BYTE_VALUE, _MULT, mixed
 
 LENGTH, STEP = 400, 100
-SEED = 32
-#: Distinct runs under a hash from which a longer seed splits it, and the seed's part of the window.
-SPLITS = ((100_000, 0.99), (500, 0.84))
-SHARD_BYTES, GROUP_BYTES = 1 << 18, 1 << 21
+#: The part of a window whose least hash names its run.
+SEED = 0.25
+#: For each further level: distinct runs under a hash from which it is cut again, and the part of the window.
+SPLITS = ((500, 0.84), (500, 0.96), (500, 1.0))
+SHARD_BYTES, GROUP_BYTES = 1 << 17, 1 << 20
 
 
 def kmer_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -102,20 +106,20 @@ class Transform:
             if rank.max(initial=0) + 1 == n:
                 break
             after = after[after]
-        self.order = np.empty(n, np.int64)
-        self.order[rank] = np.arange(n)
+        self.order = np.empty(n, np.int32)
+        self.order[rank] = np.arange(n, dtype=np.int32)
         self.symbols = before[self.order]
 
 
-def merge(shards: list[Transform], passes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interleave refinement: for each merged row its row among all shards' rows, its interval, and its common prefix with the row before."""
+def merge(shards: list[Transform], passes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave refinement: for each merged row its row among all shards' rows, and how many symbols it shares with the row before, up to ``passes``."""
     sizes = [len(s.order) for s in shards]
     symbols = np.concatenate([s.symbols for s in shards])
     z = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
     ends = np.repeat(np.arange(len(shards), dtype=np.uint16), [s.ends for s in shards])
     n, k = len(z), len(ends)
-    interval, prefix = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-    merged = np.empty(n, np.int64)
+    interval, prefix = np.zeros(n, np.int32), np.full(n, passes, np.int16)
+    merged = np.empty(n, np.int32)
     for t in range(1, passes + 1):
         merged[np.argsort(z, kind="stable")] = symbols  # each shard's symbols in turn, as the interleave calls them
         kept = np.flatnonzero(merged)
@@ -124,24 +128,20 @@ def merge(shards: list[Transform], passes: int) -> tuple[np.ndarray, np.ndarray,
         s, o = merged[order], interval[order]
         new = np.ones(n, bool)
         new[k + 1 :] = (s[1:] != s[:-1]) | (o[1:] != o[:-1])
-        prefix[new & (prefix < 0)] = t - 1
-        interval = np.cumsum(new) - 1
-    row = np.empty(n, np.int64)
-    row[np.argsort(z, kind="stable")] = np.arange(n)
-    return row, interval, prefix
+        prefix[new & (prefix == passes)] = t - 1
+        interval = (np.cumsum(new) - 1).astype(np.int32)
+    row = np.empty(n, np.int32)
+    row[np.argsort(z, kind="stable")] = np.arange(n, dtype=np.int32)
+    return row, prefix
 
 
 def repeated_windows(texts: list[np.ndarray], length: int, step: int, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
     """For each text, which of its windows start in two places among all the texts."""
     passes = length // step
     sizes = np.array([len(t) for t in texts], np.int64)
-    data = np.concatenate(texts)
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    hashes = [kmer_hashes(t, step) for t in texts]
-    values, ranks = np.unique(np.concatenate(hashes), return_inverse=True)
-    del values, data
+    ranks = np.unique(np.concatenate([kmer_hashes(t, step) for t in texts]), return_inverse=True)[1].astype(np.int32)
     shards: list[Transform] = []
-    place: list[tuple[int, np.ndarray]] = []  # of each shard's rows: text and position
+    place: list[tuple[np.ndarray, np.ndarray]] = []  # of each shard's rows: text and position
     used, first = 0, 0
     while first < len(texts):
         last, size = first, 0
@@ -151,23 +151,24 @@ def repeated_windows(texts: list[np.ndarray], length: int, step: int, shard_byte
         symbol, after, before, text, position = [], [], [], [], []
         base = 0
         for i in range(first, last):
-            m, c = int(sizes[i]), len(hashes[i])
-            s = np.zeros(m + 1, np.int64)  # the last `step` positions are ends
+            m = int(sizes[i])
+            c = max(0, m - step + 1)
+            s = np.zeros(m + 1, np.int32)  # the last `step` positions are ends
             s[:c] = ranks[used : used + c] + 1
             used += c
-            p = np.arange(m + 1)
+            p = np.arange(m + 1, dtype=np.int32)
             symbol.append(s)
             after.append(base + np.where(s > 0, np.minimum(p + step, m), p))
-            before.append(np.concatenate([np.zeros(min(step, m + 1), np.int64), s[: max(0, m + 1 - step)]]))
-            text.append(np.full(m + 1, i))
+            before.append(np.concatenate([np.zeros(min(step, m + 1), np.int32), s[: max(0, m + 1 - step)]]))
+            text.append(np.full(m + 1, i, np.int32))
             position.append(p)
             base += m + 1
         shards.append(Transform(np.concatenate(symbol), np.concatenate(after), np.concatenate(before)))
         place.append((np.concatenate(text)[shards[-1].order], np.concatenate(position)[shards[-1].order]))
         first = last
-    row, interval, _ = merge(shards, passes)
-    many = np.bincount(interval)[interval] > 1
-    rows = row[many]
+    row, prefix = merge(shards, passes)
+    same = prefix >= passes  # as the row before
+    rows = row[same | np.append(same[1:], False)]
     text, position = np.concatenate([p[0] for p in place])[rows], np.concatenate([p[1] for p in place])[rows]
     out = [np.zeros(max(0, int(m) - length + 1), bool) for m in sizes]
     order = np.argsort(text, kind="stable")
@@ -188,50 +189,89 @@ def digest(data: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+RUN = "h long, c1 long, c2 long, k1 long, k2 long, a int, r int, own boolean, once boolean"
+RUN_KINDS = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.bool_()] * 2
+RUN_NAMES = ["h", "c1", "c2", "k1", "k2", "a", "r", "own", "once"]
+
+
+def table_of(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+
+
 def runs_table(keyed: DataFrame, length: int) -> DataFrame:
     """Every run: its least hash, a digest of its bytes, its document's key, first window, windows."""
-    names = ["h", "c1", "c2", "k1", "k2", "a", "r", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.bool_()]
         for b in batches:
             data, offsets = strings(b.column(2))
             rows: list[tuple] = []
             for i, (k1, k2) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 text = data[offsets[i] : offsets[i + 1]]
                 raw = text.tobytes()
-                rows += [(h, *digest(raw[a : a + n + length - 1]), k1, k2, a, n, own) for h, a, n, own in cut_runs(text, length, SEED)]
+                rows += [(h, *digest(raw[a : a + n + length - 1]), k1, k2, a, n, own, True) for h, a, n, own in cut_runs(text, length, int(length * SEED))]
                 if len(rows) >= 20_000 or i == b.num_rows - 1 and rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+                    yield table_of(rows, RUN_KINDS, RUN_NAMES)
                     rows = []
 
-    return keyed.mapInArrow(run, "h long, c1 long, c2 long, k1 long, k2 long, a int, r int, own boolean")
+    return keyed.mapInArrow(run, RUN)
+
+
+def cut_again(pieces: DataFrame, length: int, part: float) -> DataFrame:
+    """The runs, with their bytes, of pieces by a longer part of the window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for k1, k2, at, once, raw in zip(*(c.to_pylist() for c in b.columns)):
+                cuts = cut_runs(np.frombuffer(raw, np.uint8), length, int(length * part))
+                rows += [(h, *digest(x := raw[a : a + n + length - 1]), k1, k2, at + a, n, own, once, x) for h, a, n, own in cuts]
+                if len(rows) >= 5_000:
+                    yield table_of(rows, [*RUN_KINDS, pa.binary()], [*RUN_NAMES, "bytes"])
+                    rows = []
+            if rows:
+                yield table_of(rows, [*RUN_KINDS, pa.binary()], [*RUN_NAMES, "bytes"])
+
+    return pieces.select("k1", "k2", "a", "once", "bytes").mapInArrow(run, RUN + ", bytes binary")
+
+
+def held(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written: (k1, k2, lo, hi) of runs that occur with equal bytes elsewhere; and the distinct runs that are still to be searched.
+
+    The latter are (h, k1, k2, a, r, once, crowd) and bytes if ``runs`` have them; crowd counts the distinct runs of a hash."""
+    extra = [c for c in runs.columns if c == "bytes"]
+    by_hash = runs.groupBy("h").agg(F.count("*").alias("n"), F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.max("own").alias("any_own")).where("n > 1 or any_own").select("h", (F.col("lo") != F.col("hi")).alias("several"))
+    shared = written(runs.join(by_hash, "h"), "suffix-shared")
+    groups = shared.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "a", "r", *extra)).alias("at"), F.max("own").alias("own"), F.max("several").alias("several"), F.max("once").alias("once"))
+    distinct = written(groups.select("h", "c1", "c2", "n", "at.*", "own", "several", "once"), "suffix-distinct")
+    equal = shared.where("once").join(distinct.where("n > 1").select("h", "c1", "c2"), ["h", "c1", "c2"])
+    whole = written(equal.select("k1", "k2", F.col("a").alias("lo"), F.expr("a + r").cast("int").alias("hi")), "suffix-whole")
+    # Written, so that the join below deals both sides anew and can split a crowded hash.
+    crowd = written(distinct.where("several").groupBy("h").agg(F.count("*").alias("crowd")), "suffix-crowd")
+    left = distinct.where("several or (own and n = 1)").join(crowd, "h", "left")
+    left = written(left.select("h", "k1", "k2", "a", "r", F.expr("once and n = 1").alias("once"), F.coalesce("crowd", F.lit(1)).alias("crowd"), *extra), "suffix-left")
+    discard(shared, distinct, crowd)
+    return whole, left
 
 
 def bytes_of(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Pieces (key, k1, k2, a, once, bytes) of the wanted runs, those of crowded hashes split by a longer seed."""
+    """Pieces (h, k1, k2, a, once, crowd, bytes): the wanted runs' bytes. A run that occurs once is of a row that occurs once."""
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "a", "r", "once", "crowd")).alias("runs"))  # of one text, so bounded by it
-    texts = keyed.join(lists, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    texts, _ = sifted(keyed, F.xxhash64("k1", "k2"), wanted.select(F.xxhash64("k1", "k2").alias("key")))
+    joined = texts.join(lists, ["k1", "k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-        names = ["key", "k1", "k2", "a", "once", "bytes"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
+        names = ["h", "k1", "k2", "a", "once", "crowd", "bytes"]
         for b in batches:
             out: list[tuple] = []
             for i, (k1, k2) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 raw = b.column(2)[i].as_py() or b""
-                for x in b.column(3)[i].as_py():
-                    text = raw[x["a"] : x["a"] + x["r"] + length - 1]
-                    part = next((p for least, p in SPLITS if x["crowd"] >= least), None)
-                    if part is None:
-                        out.append((x["h"], k1, k2, x["a"], x["once"], text))
-                    else:
-                        out += [(h, k1, k2, x["a"] + a, x["once"], text[a : a + n + length - 1]) for h, a, n, _ in cut_runs(np.frombuffer(text, np.uint8), length, int(length * part))]
+                out += [(x["h"], k1, k2, x["a"], x["once"], x["crowd"], raw[x["a"] : x["a"] + x["r"] + length - 1]) for x in b.column(3)[i].as_py()]
                 if len(out) >= 5_000 or i == b.num_rows - 1 and out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                    yield table_of(out, kinds, names)
                     out = []
 
-    return texts.select("k1", "k2", F.col("text").cast("binary").alias("text"), "runs").mapInArrow(run, "key long, k1 long, k2 long, a int, once boolean, bytes binary")
+    return joined.select("k1", "k2", F.col("text").cast("binary").alias("text"), "runs").mapInArrow(run, "h long, k1 long, k2 long, a int, once boolean, crowd long, bytes binary")
 
 
 def search(pieces: DataFrame, length: int, step: int) -> DataFrame:
@@ -255,36 +295,46 @@ def search(pieces: DataFrame, length: int, step: int) -> DataFrame:
                 group.append(row)
                 size += len(row[5])
             if len(out) > 10_000:
-                yield found(out)
+                yield table_of(out, kinds, names)
                 out = []
         if group:
             searched()
         if out:
-            yield found(out)
-
-    def found(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), [pa.int64(), pa.int64(), pa.int32(), pa.int32()])], ["k1", "k2", "lo", "hi"])
+            yield table_of(out, kinds, names)
 
+    kinds, names = [pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["k1", "k2", "lo", "hi"]
     n = max(1, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return pieces.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "k1 long, k2 long, lo int, hi int")
+    dealt = pieces.select("h", "k1", "k2", "a", "once", "bytes").repartition(n, "h").sortWithinPartitions("h")
+    return dealt.mapInArrow(run, "k1 long, k2 long, lo int, hi int")
 
 
 def repeated_spans(documents: DataFrame, length: int = LENGTH, step: int = STEP) -> DataFrame:
-    """k1, k2, spans array<struct<lo, hi>>: the repeated windows of each document that has some, keyed as by ``keyed_of``."""
+    """k1, k2, spans array<struct<lo, hi>>, written: the repeated windows of each document that has some, keyed as by ``keyed_of``."""
     keyed = keyed_of(documents)
     runs = written(runs_table(keyed, length), "suffix-runs")
-    by_hash = runs.groupBy("h").agg(F.count("*").alias("n"), F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.max("own").alias("any_own")).where("n > 1 or any_own").select("h", (F.col("lo") != F.col("hi")).alias("several"))
-    shared = written(runs.join(by_hash, "h"), "suffix-shared")
-    distinct = shared.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "a", "r")).alias("at"), F.max("own").alias("own"), F.max("several").alias("several"))
-    distinct = written(distinct, "suffix-distinct")
-    whole = shared.join(distinct.where("n > 1").select("h", "c1", "c2"), ["h", "c1", "c2"]).select("k1", "k2", F.col("a").alias("lo"), F.expr("a + r").cast("int").alias("hi"))
-    # Written, so that the join below deals both sides anew and can split a crowded hash.
-    crowd = written(distinct.where("several").groupBy("h").agg(F.count("*").alias("crowd")), "suffix-crowd")
-    wanted = distinct.where("several or (own and n = 1)").join(crowd, "h", "left").select("h", F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"), F.col("at.a").alias("a"), F.col("at.r").alias("r"), (F.col("n") == 1).alias("once"), F.coalesce("crowd", F.lit(1)).alias("crowd"))
-    pieces = written(bytes_of(keyed, wanted, length), "suffix-pieces")
-    found = written(search(pieces, length, step), "suffix-found")
-    discard(runs, pieces)
-    return whole.unionByName(found).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # of one text, so bounded by it
+    whole, left = held(runs)
+    discard(runs)
+    pieces = written(bytes_of(keyed, left, length), "suffix-pieces")
+    discard(left)
+    spans, levels = [whole], [pieces]
+    for most, part in SPLITS:
+        crowded = levels[-1].where(F.col("crowd") >= most)
+        if crowded.isEmpty():
+            break
+        runs = written(cut_again(crowded, length, part), "suffix-runs")
+        whole, left = held(runs)
+        discard(runs)
+        spans.append(whole)
+        levels.append(left)
+    for at, level in enumerate(levels):
+        # What the next level has taken over is searched there.
+        spans.append(written(search(level.where(F.col("crowd") < SPLITS[at][0]) if at + 1 < len(levels) else level, length, step), "suffix-found"))
+    all_spans = spans[0]
+    for x in spans[1:]:
+        all_spans = all_spans.unionByName(x)
+    out = written(all_spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix-spans")  # of one text, so bounded by it
+    discard(*levels, *spans)
+    return out
 
 
 def keyed_of(documents: DataFrame) -> DataFrame:
@@ -316,7 +366,9 @@ def removal_digest(documents: DataFrame, length: int = LENGTH, step: int = STEP)
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     spans = repeated_spans(documents, length, step)
     docs = documents_of(documents).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.length("text"), "doc_id")})
-    joined = docs.join(spans, ["k1", "k2"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
+    maybe, clean = sifted(docs, F.xxhash64("k1", "k2"), spans.select(F.xxhash64("k1", "k2").alias("key")))
+    joined = maybe.join(spans, ["k1", "k2"], "left").unionByName(clean.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
+    joined = joined.select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64()] * 4 + [pa.string()]
@@ -335,9 +387,13 @@ def removal_digest(documents: DataFrame, length: int = LENGTH, step: int = STEP)
 def remove_repeats(documents: DataFrame, length: int = LENGTH, step: int = STEP) -> DataFrame:
     """The same rows and columns, without the repeated bytes of ``text``; characters cut in part go as a whole."""
     columns = documents.columns
-    spans = repeated_spans(documents, length, step).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans"))
+    spans = repeated_spans(documents, length, step).select("k1", "k2", "spans")
     whole = F.coalesce(documents["text"], F.lit(""))
-    joined = documents.join(spans, (F.xxhash64(whole) == F.col("__k1")) & (F.xxhash64(F.length(whole), documents["doc_id"].cast("long")) == F.col("__k2")), "left").select(*[documents[c] for c in columns], "__spans")
+    key = F.struct(F.xxhash64(whole).alias("k1"), F.xxhash64(F.length(whole), documents["doc_id"].cast("long")).alias("k2"))
+    # The rows go as one struct, so that no column's name can clash.
+    rows = documents.select(key.alias("key"), F.struct(*[F.col(c) for c in columns]).alias("row"))
+    maybe, clean = sifted(rows, F.xxhash64("key.k1", "key.k2"), spans.select(F.xxhash64("k1", "k2").alias("key")))
+    joined = maybe.join(spans, (F.col("key.k1") == F.col("k1")) & (F.col("key.k2") == F.col("k2")), "left").select("row.*", "spans")
     at, last = columns.index("text"), len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,4 +403,4 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, step: int = STEP)
             arrays = [pa.array(clean, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns[:last])]
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return joined.mapInArrow(run, documents.schema)
+    return joined.mapInArrow(run, documents.schema).unionByName(clean.select("row.*"))
