@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -85,17 +85,18 @@ def sieve(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def sifted(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``df`` whose key may be among ``keys`` (key long), and the rows whose key is not.
+def sifted(df: DataFrame, key: Column, keys: DataFrame) -> Callable[..., DataFrame]:
+    """A choice of ``df``'s rows: of True, those whose key may be among ``keys`` (key long); of False, those whose key is not.
 
     The first are for a join that decides; the others need none, so that their texts are not shuffled. With so
-    many keys that most bits are set, all rows are among the first: more work, the same results."""
+    many keys that most bits are set, all rows are among the first: more work, the same results. What is to
+    be done ``then`` with the chosen rows' batches can go in the same Python worker, with its schema."""
     shared = df.sparkSession.sparkContext.broadcast(sieve(keys))  # SIEVE_BITS: a fixed size
     places = [F.pmod(F.xxhash64(F.lit(k), key), F.lit(SIEVE_BITS)).alias(f"place{k}") for k in range(SIEVE_HASHES)]
     placed, columns, width = df.select("*", *places), df.columns, len(df.columns)
 
-    def side(wanted: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def choose(wanted: bool, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter, schema=None) -> DataFrame:
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = shared.value
             for b in batches:
                 passed = np.ones(b.num_rows, bool)
@@ -105,9 +106,9 @@ def sifted(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, Data
                 rows = pa.array(passed == wanted)
                 yield pa.RecordBatch.from_arrays([c.filter(rows) for c in b.columns[:width]], names=columns)
 
-        return placed.mapInArrow(run, df.schema)
+        return placed.mapInArrow(lambda batches: then(chosen(batches)), df.schema if schema is None else schema)
 
-    return side(True), side(False)
+    return choose
 
 
 def documents_of(df: DataFrame) -> DataFrame:

@@ -326,7 +326,7 @@ def repeated(rows: DataFrame) -> DataFrame | None:
 
 def full_sets(documents: DataFrame, involved: DataFrame, n: int) -> DataFrame:
     """cls, shingles array<long> of the involved classes, each from its documents of least identifier. No text is shuffled."""
-    texts, _ = sifted(documents_of(documents), F.col("doc_id"), involved.select(F.col("rep").alias("key")))
+    choose = sifted(documents_of(documents), F.col("doc_id"), involved.select(F.col("rep").alias("key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -335,7 +335,7 @@ def full_sets(documents: DataFrame, involved: DataFrame, n: int) -> DataFrame:
                 found = [s for s in sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["set_key", "shingles"])
 
-    found = texts.mapInArrow(run, "set_key binary, shingles array<long>")
+    found = choose(True, run, "set_key binary, shingles array<long>")
     # A row of an identifier that repeats may bring the set of another class, or the same set twice.
     return found.join(involved.select("set_key", "cls"), "set_key").groupBy("set_key", "cls").agg(F.any_value("shingles").alias("shingles"))
 

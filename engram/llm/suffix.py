@@ -256,8 +256,8 @@ def held(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def bytes_of(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Pieces (h, k1, k2, a, once, crowd, bytes): the wanted runs' bytes. A run that occurs once is of a row that occurs once."""
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "a", "r", "once", "crowd")).alias("runs"))  # of one text, so bounded by it
-    texts, _ = sifted(keyed, F.xxhash64("k1", "k2"), wanted.select(F.xxhash64("k1", "k2").alias("key")))
-    joined = texts.join(lists, ["k1", "k2"])
+    choose = sifted(keyed, F.xxhash64("k1", "k2"), wanted.select(F.xxhash64("k1", "k2").alias("key")))
+    joined = choose(True).join(lists, ["k1", "k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
@@ -366,22 +366,22 @@ def removal_digest(documents: DataFrame, length: int = LENGTH, step: int = STEP)
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     spans = repeated_spans(documents, length, step)
     docs = documents_of(documents).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.length("text"), "doc_id")})
-    maybe, clean = sifted(docs, F.xxhash64("k1", "k2"), spans.select(F.xxhash64("k1", "k2").alias("key")))
-    joined = maybe.join(spans, ["k1", "k2"], "left").unionByName(clean.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
-    joined = joined.select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
+    choose = sifted(docs.select("doc_id", F.col("text").cast("binary").alias("text"), "k1", "k2"), F.xxhash64("k1", "k2"), spans.select(F.xxhash64("k1", "k2").alias("key")))
+    joined = choose(True).join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    names, kinds = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64()] * 4 + [pa.string()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64()] * 4 + [pa.string()]
+    def digests(batches: Iterator[pa.RecordBatch], with_spans: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for i, doc_id in enumerate(b.column(0).to_pylist()):
-                data, cuts = b.column(1)[i].as_py() or b"", covered(b.column(2)[i].as_py(), length)
+                data, cuts = b.column(1)[i].as_py() or b"", covered(b.column(2)[i].as_py(), length) if with_spans else []
                 kept = without(data, cuts)
                 out.append((doc_id, len(data), len(data) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+                yield table_of(out, kinds, names)
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return joined.mapInArrow(lambda batches: digests(batches, True), schema).unionByName(choose(False, lambda batches: digests(batches, False), schema))
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, step: int = STEP) -> DataFrame:
@@ -392,8 +392,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, step: int = STEP)
     key = F.struct(F.xxhash64(whole).alias("k1"), F.xxhash64(F.length(whole), documents["doc_id"].cast("long")).alias("k2"))
     # The rows go as one struct, so that no column's name can clash.
     rows = documents.select(key.alias("key"), F.struct(*[F.col(c) for c in columns]).alias("row"))
-    maybe, clean = sifted(rows, F.xxhash64("key.k1", "key.k2"), spans.select(F.xxhash64("k1", "k2").alias("key")))
-    joined = maybe.join(spans, (F.col("key.k1") == F.col("k1")) & (F.col("key.k2") == F.col("k2")), "left").select("row.*", "spans")
+    choose = sifted(rows, F.xxhash64("key.k1", "key.k2"), spans.select(F.xxhash64("k1", "k2").alias("key")))
+    joined = choose(True).join(spans, (F.col("key.k1") == F.col("k1")) & (F.col("key.k2") == F.col("k2")), "left").select("row.*", "spans")
     at, last = columns.index("text"), len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,4 +403,4 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, step: int = STEP)
             arrays = [pa.array(clean, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns[:last])]
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return joined.mapInArrow(run, documents.schema).unionByName(clean.select("row.*"))
+    return joined.mapInArrow(run, documents.schema).unionByName(choose(False).select("row.*"))
