@@ -54,8 +54,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = written(docs.withColumn(mark, F.monotonically_increasing_id()), "pipeline-rows")
     found = near_duplicates(rows.select(F.col(mark).alias("doc_id"), "text"))
     gone = written(found.where("not kept").select(F.col("doc_id").alias("key")), "pipeline-gone")
-    maybe, kept = sifted(rows, F.col(mark), gone)
-    return maybe.join(gone.withColumnRenamed("key", mark), mark, "left_anti").unionByName(kept).select(*docs.columns)
+    choose = sifted(rows, F.col(mark), gone)
+    left = choose(True).join(gone.withColumnRenamed("key", mark), mark, "left_anti")
+    return left.unionByName(choose(False)).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
