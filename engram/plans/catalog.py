@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import relevance
 from ..operators import filters, graph, joins, maintain, retrieval, stats, windows
-from .fixtures import AS_OF, WHOLE, Tables, Whole, differs, with_tables
+from .fixtures import AS_OF, Tables, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -18,19 +18,12 @@ TS = f"TIMESTAMP '{AS_OF}'"
 
 
 def query(sql: str | None = None):
-    """Register a query. Its SQL fixes the tables that it reads; without SQL it reads the whole ones.
-
-    Where the SQL's links or relations are cut, NAME_whole is the same query over all of them, with the
-    same SQL over the whole tables unless that is recursive: reached pairs grow with the square of a component."""
+    """Register a query, and the same query in SQL where there is one."""
 
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f((Tables if sql else Whole)(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             SQL[f.__name__] = with_tables(sql)
-        if sql and differs(sql):
-            QUERIES[f"{f.__name__}_whole"] = lambda spark, sf_dir: f(Whole(spark, sf_dir))
-            if "RECURSIVE" not in sql:
-                SQL[f"{f.__name__}_whole"] = with_tables(sql, WHOLE)
         return f
 
     return add

@@ -1,9 +1,9 @@
-"""Queries named _whole, and those without SQL, read links and relations of all lineitem rows."""
+"""All queries read links and relations of all lineitem rows."""
 
 import pandas as pd
 
-from engram.plans import catalog, catalog_more  # noqa: F401
-from engram.plans.fixtures import Whole
+from engram.plans import catalog, catalog_jobs, catalog_more  # noqa: F401
+from engram.plans.fixtures import Tables
 
 DATA = "/root/testdata/sf0.001"
 
@@ -15,7 +15,7 @@ def relations() -> pd.DataFrame:
 
 
 def test_all_rows_are_read(spark):
-    t = Whole(spark, DATA)
+    t = Tables(spark, DATA)
     want = relations()
     got = t.entity_relations
     assert got.count() == len(want) == got.select("id").distinct().count() and got.where("valid").count() == (want.l_tax < 0.07).sum()
@@ -36,8 +36,8 @@ def test_whole_components(spark):
         a, b = sorted((root(r.s), root(r.t)))
         parent[b] = a
     want = {x: root(x) for x in parent}
-    assert {r.node: r.component for r in catalog.QUERIES["connected_components_whole"](spark, DATA).collect()} == want
-    assert sum(r.members for r in catalog.QUERIES["component_sizes_whole"](spark, DATA).collect()) == len(want)
+    assert {r.node: r.component for r in catalog.QUERIES["connected_components"](spark, DATA).collect()} == want
+    assert sum(r.members for r in catalog.QUERIES["component_sizes"](spark, DATA).collect()) == len(want)
 
 
 def test_queries_without_sql_read_whole_tables(spark):
