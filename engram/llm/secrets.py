@@ -5,8 +5,9 @@
 - ``assign``, ``access``, ``hex``: fixed patterns, leftmost and non-overlapping for each kind.
 - ``named``: the method's own. Source and configuration syntax (``name = "x"``, ``name: x``,
   ``"name": "x"``, ``name := x``, ``name => x``, ``a["name"] = x``, ``name: type = "x"``) is lexed into pairs;
-  literals may have prefixes, triple quotes, and stand behind opening brackets or on the next line. A pair whose value is a name that the
-  same text assigns passes on that name's literal (constants propagate through any chain; a cycle ends
+  literals may have prefixes, triple quotes, and stand behind opening brackets or on the next line; literals that are
+  joined (``"a" + "b"``) are one value of several spans. Calls with a name and a literal (``set("name", "x")``) and
+  elements (``<name>x</name>``) are pairs too. A pair whose value is a name that the same text assigns passes on that name's literal (constants propagate through any chain; a cycle ends
   it). A literal is scored by the most sensitive name that it reaches, times how much it looks like a
   secret; those of ``LEAST`` or more are spans of the literal without its quotes.
 
@@ -53,6 +54,10 @@ PAIR = re.compile(
     re.DOTALL,
 )
 MORE = re.compile(rf"[\s,]*+({QUOTED})(?!\s*+(?::(?!:)|=>?))", re.DOTALL)
+# What joins a literal to the one before it: an operator, with a line break on either side of it, or nothing but blanks.
+JOINED = re.compile(rf"[ \t]*+(?:(?:\+|\.\.?|&|\\)[ \t]*+(?:\r?\n[ \t]*+)?|\r?\n[ \t]*+(?:\+|\.\.?|&)[ \t]*+)?({QUOTED})(?!\s*+(?::(?!:)|=>?))", re.DOTALL)
+CALL = re.compile(rf"\(\s*+({QUOTED})\s*+,\s*+({QUOTED})(?=\s*+[,)])", re.DOTALL)
+ELEMENT = re.compile(r"<([A-Za-z_][\w.\-]*+)(?:\s[^<>]*+)?>([^<>\s]{8,}+)</\1\s*>")
 FIELD = re.compile(r"\{[^{}]*\}")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -108,36 +113,63 @@ def unquoted(text: str, start: int, end: int) -> tuple[str, int, int]:
     return FIELD.sub("", value) if formatted else value, start, end
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int, bool]]:
-    """(name, value, start, end, quoted) of every assignment, in order; each literal of a bracketed list is one."""
-    out = []
+def joined(text: str, start: int, end: int) -> tuple[str, list[tuple[int, int]], int]:
+    """(value, spans, end) of the literal at start and those joined to it."""
+    value, *span = unquoted(text, start, end)
+    parts, spans = [value], [tuple(span)]
+    while more := JOINED.match(text, end):
+        value, *span = unquoted(text, more.start(1), more.end(1))
+        parts.append(value)
+        spans.append(tuple(span))
+        end = more.end()
+    return "".join(parts), spans, end
+
+
+Pair = tuple[str, str, list[tuple[int, int]], bool]
+
+
+def pairs(text: str) -> list[Pair]:
+    """(name, value, spans, quoted) of every assignment, in order; each literal of a bracketed list is one."""
+    out: list[Pair] = []
+    at = 0  # the end of the literals taken so far: what lies among them is no pair, and none is walked twice
     for m in PAIR.finditer(text):
+        if m.start() < at:
+            continue
         if m["quoted"] is None:
             g = "plain" if m["plain"] is not None else "alone"
-            out.append((m[1], m[g], m.start(g), m.end(g), False))
+            out.append((m[1], m[g], [m.span(g)], False))
             continue
-        out.append((m[1], *unquoted(text, m.start("quoted"), m.end("quoted")), True))
+        value, spans, at = joined(text, m.start("quoted"), m.end("quoted"))
+        out.append((m[1], value, spans, True))
         if any(c in m["open"] for c in "([{"):
-            at = m.end()
             while more := MORE.match(text, at):
-                out.append((m[1], *unquoted(text, more.start(1), more.end(1)), True))
-                at = more.end()
+                value, spans, at = joined(text, more.start(1), more.end(1))
+                out.append((m[1], value, spans, True))
+    at = 0
+    for m in CALL.finditer(text):
+        if m.start() < at:
+            continue
+        name = unquoted(text, *m.span(1))[0]
+        if NAME.fullmatch(name):
+            value, spans, at = joined(text, *m.span(2))
+            out.append((name, value, spans, True))
+    out += [(m[1], m[2], [m.span(2)], True) for m in ELEMENT.finditer(text)]
     return out
 
 
 def named_spans(text: str) -> list[Span]:
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text and "('" not in text and '("' not in text:
         return []
     found = pairs(text)
-    literal: dict[str, list[tuple[str, int, int]]] = {}
+    literal: dict[str, list[tuple[str, list[tuple[int, int]]]]] = {}
     alias: dict[str, set[str]] = {}
     names = {p[0] for p in found}
-    for name, value, start, end, quoted in found:
+    for name, value, spans, quoted in found:
         if not quoted and value in names and value != name and NAME.fullmatch(value):
             alias.setdefault(value, set()).add(name)
         else:
-            literal.setdefault(name, []).append((value, start, end))
-    out = []
+            literal.setdefault(name, []).append((value, spans))
+    out: set[Span] = set()
     for name, values in literal.items():
         reached, todo = {name}, [name]
         while todo:
@@ -147,8 +179,8 @@ def named_spans(text: str) -> list[Span]:
                     todo.append(x)
         weight = max(map(name_score, reached))
         if weight > 0:
-            out += [(start, end, "named") for value, start, end in values if weight * literal_score(value) >= LEAST]
-    return out
+            out |= {(a, b, "named") for value, spans in values if weight * literal_score(value) >= LEAST for a, b in spans if a < b}
+    return sorted(out)
 
 
 def scan(text: str) -> list[Span]:
