@@ -3,7 +3,7 @@
 The tree is fitted on a bounded sample (``sample`` rows and ``SAMPLE_VALUES`` numbers at most, those of least
 identifier hash), and every row is assigned to a leaf. A query walks the tree best bin first: from the root
 to the nearest child, the others into a priority queue by distance, again and again from the queue's head,
-until it has visited enough leaves. How many is calibrated: for a bounded number of queries the true
+until it has visited enough leaves. Tables of 64 rows or more have several. How many is calibrated: for a bounded number of queries the true
 neighbours are found by brute force over all rows, in blocks, and leaf visits widen until ``target`` of them
 lie in the visited leaves. Then all queries are searched, leaf by leaf; a leaf with many rows or visits is
 split into parts, so that no task gathers more than a bounded group.
@@ -199,23 +199,26 @@ def true_leaves(rows: DataFrame, queries: list[tuple[int, np.ndarray]], k: int)
 
 
 def nearest_neighbours(embeddings: DataFrame, every: int = 100, k: int = 10, target: float = 0.96, sample: int = 20_000, calibration: int = 100) -> DataFrame:
-    """query_id, rank, vec_id, score for every row whose identifier is divisible by ``every``."""
+    """query_id, rank, vec_id, score for every row whose identifier is divisible by ``every``.
+
+    calibrated_recall, the same in every row, is the share of the calibration queries' true neighbours that the
+    leaves visited hold; null without any."""
     spark = embeddings.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, calibrated_recall double"
     x, size = usable(embeddings)
     if not size:
         return spark.createDataFrame([], schema)
     total = x.count()
     most = min(sample, max(1000, SAMPLE_VALUES // size))
     chosen = np.array([r.embedding for r in x.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(most).collect()], np.float64)
-    tree = grow(chosen, int(min(MOST_LEAVES, max(1, total // LEAF_ROWS), max(1, len(chosen) // 8))))
+    tree = grow(chosen, leaves_for(total, len(chosen)))
     rows = written(packed(x, tree, size), "ann-rows")
     sizes = np.zeros(tree.leaves, np.int64)
     for r in rows.groupBy("leaf").count().collect():  # MOST_LEAVES rows at most
         sizes[r.leaf] = r["count"]
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     some = [(r.vec_id, np.frombuffer(r.vector, "<f8")) for r in queries.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(calibration).collect()]
-    visits = calibrated(tree, some, true_leaves(rows, some, k), target)
+    visits, recall = calibrated(tree, some, true_leaves(rows, some, k), target)
 
     shared = spark.sparkContext.broadcast((tree, sizes))
 
@@ -249,13 +252,21 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 100, k: int = 10, tar
     keys = ["leaf", "p", "s"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", F.lit(recall).cast("double").alias("calibrated_recall"))
+
+
+def leaves_for(rows: int, sampled: int) -> int:
+    """Leaves of about LEAF_ROWS rows, at least a first split, and of eight sampled rows at least; one for under 64 rows."""
+    return int(min(MOST_LEAVES, max(BRANCHES, rows // LEAF_ROWS), max(1, sampled // 8)))
 
 
-def calibrated(tree: Tree, queries: list[tuple[int, np.ndarray]], true: dict[int, list[int]], target: float) -> int:
-    """The least number of leaf visits that finds ``target`` of the true neighbours."""
+def calibrated(tree: Tree, queries: list[tuple[int, np.ndarray]], true: dict[int, list[int]], target: float) -> tuple[int, float | None]:
+    """The least number of leaf visits that finds ``target`` of the true neighbours, and the share that it finds."""
     at = []
     for q_id, q in queries:
         place = {leaf: i for i, leaf in enumerate(tree.order(q), 1)}
         at += [place[leaf] for leaf in true.get(q_id, ())]
-    return int(np.sort(at)[min(len(at) - 1, int(np.ceil(target * len(at))) - 1)]) if at else 1
+    if not at:
+        return 1, None
+    visits = int(np.sort(at)[min(len(at) - 1, int(np.ceil(target * len(at))) - 1)])
+    return visits, float(np.mean(np.array(at) <= visits))

@@ -425,19 +425,25 @@ def decode_media(media: DataFrame) -> DataFrame:
 
 
 def media_digest(documents: DataFrame) -> DataFrame:
-    """Store every payload in a media table in the shared folder, read it back, and digest payload, file and tensor."""
+    """Store every payload in a media table in the shared folder, read it back, and digest payload, file and tensor.
+
+    The full-resolution RGB tensor is a column of the result (height, width, rgb row-major), so that storing the result stores it."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "rgb"]
+    kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for b in batches:
-            out = []
+            out, size = [], 0
             for doc_id, n, media in zip(*(c.to_pylist() for c in b.columns)):
                 image = decode(media)
-                payload = payload_of(image)
-                out.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(to_rgb(image))))
+                payload, rgb = payload_of(image), to_rgb(image)
+                out.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(rgb), *rgb.shape[:2], rgb.tobytes()))
+                size += rgb.nbytes
+                if size >= 1 << 23:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+                    out, size = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
 
     stored = written(encode_media(documents), "media")
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, rgb binary")
