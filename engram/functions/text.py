@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -126,15 +127,40 @@ def chunks_of(text: str, most: int = 6000, overlap: int = 500, tail: bool = True
     return out
 
 
-def chunked(documents: DataFrame, most: int = 6000, overlap: int = 500, tail: bool = True) -> DataFrame:
-    """id, chunk_index, chunk_total, chunk_offset, chunk of every document with text."""
+def chunked(documents: DataFrame, most: int = 6000, overlap: int = 500, tail: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """id, chunk_index, chunk_total, chunk_offset, chunk of every document with text, and its columns of ``keep``."""
+    names = ["id", "chunk_index", "chunk_total", "chunk_offset", "chunk", *keep]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
-            found = [(i, k, len(c), o, t) for i, text in zip(rows["id"], rows["content"]) for c in [chunks_of(text or "", most, overlap, tail)] for k, (t, o) in enumerate(c)]
-            yield pd.DataFrame(found, columns=["id", "chunk_index", "chunk_total", "chunk_offset", "chunk"])
+            found = [(i, k, len(c), o, t, *more) for i, text, *more in rows.itertuples(index=False) for c in [chunks_of(text or "", most, overlap, tail)] for k, (t, o) in enumerate(c)]
+            yield pd.DataFrame(found, columns=names)
 
-    return documents.select("id", "content").mapInPandas(run, "id long, chunk_index long, chunk_total long, chunk_offset long, chunk string")
+    kinds = dict(documents.dtypes)
+    more = "".join(f", `{c}` {kinds[c]}" for c in keep)
+    return documents.select("id", "content", *keep).mapInPandas(run, "id long, chunk_index long, chunk_total long, chunk_offset long, chunk string" + more)
+
+
+def composed(text: Column) -> Column:
+    """Unicode composition (NFC)."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+    return run(text)
+
+
+def name_of(json: Column) -> Column:
+    """A name in JSON of several shapes: a text, an object with name, or one with topic.name or node.name; null for others."""
+    v = F.try_parse_json(json)
+    return F.coalesce(*[F.try_variant_get(v, path, "string") for path in ("$.name", "$.topic.name", "$.node.name")], F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
+
+
+def with_prefix(prefix: Column, category: Column, tags: Column, content: Column) -> Column:
+    """A chunk's embedding text behind what a model says of its place; prefixes of five characters or fewer are none."""
+    said = F.trim(prefix)
+    return embedding_input(F.when(F.length(said) > 5, said), category, tags, content)
 
 
 def category_of(value: Column) -> Column:

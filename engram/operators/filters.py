@@ -47,6 +47,12 @@ def by_id(df: DataFrame, value: int) -> DataFrame:
     return df.where(F.col("id") == value)
 
 
+def looked_up(memories: DataFrame, value: int, as_of: str) -> DataFrame:
+    """The snapshot after one row was read: its count is one more and its last access is now."""
+    mine = F.col("id") == value
+    return memories.withColumns({"access_count": F.when(mine, F.coalesce("access_count", F.lit(0)) + 1).otherwise(F.col("access_count")), "last_accessed_at": F.when(mine, F.lit(as_of).cast("timestamp")).otherwise(F.col("last_accessed_at"))})
+
+
 def not_archived(df: DataFrame) -> DataFrame:
     """As the comparison does in SQL, rows without a category go too."""
     return df.where("category <> '_archived'")

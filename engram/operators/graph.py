@@ -116,3 +116,11 @@ def _moved(both: DataFrame, strength: DataFrame, total: float, rounds: int | Non
             break
         (step, q, n), made = after, made + 1
     return step.select("node", F.col("now").alias("community"))
+
+
+def large_components(components: DataFrame, least: int) -> DataFrame:
+    """Nodes of components of at least ``least`` nodes; of all, if no component has so many."""
+    sizes = components.groupBy("component").agg(F.count("*").alias("n"))
+    most = sizes.agg(F.max("n").alias("most"))
+    kept = sizes.join(F.broadcast(most)).where(F.col("n") >= F.least(F.lit(least), F.when(F.col("most") >= least, F.lit(least)).otherwise(F.lit(0)))).select("component")
+    return components.join(kept, "component", "left_semi")

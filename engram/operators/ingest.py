@@ -15,7 +15,7 @@ def document_store(documents: DataFrame, most: int = 8000, chunk: int = 6000, ov
     """Short documents as one memory; longer ones as chunks with their place and a numbered summary."""
     short = documents.where(F.length("content") <= most).select(F.col("id").alias("document_id"), F.lit(0).cast("long").alias("chunk_index"), F.lit(1).cast("long").alias("chunk_total"), F.lit(0).cast("long").alias("chunk_offset"), "content", "title")
     long_ = documents.where(F.length("content") > most)
-    parts = chunked(long_, chunk, overlap).join(long_.select("id", "title"), "id").select(F.col("id").alias("document_id"), "chunk_index", "chunk_total", "chunk_offset", F.col("chunk").alias("content"), "title")
+    parts = chunked(long_, chunk, overlap, keep=("title",)).select(F.col("id").alias("document_id"), "chunk_index", "chunk_total", "chunk_offset", F.col("chunk").alias("content"), "title")
     numbered = F.when(F.col("chunk_total") > 1, F.left(F.format_string("%s [%d/%d]", F.coalesce("title", F.lit("")), F.col("chunk_index") + 1, F.col("chunk_total")), F.lit(200))).otherwise(F.col("title"))
     return short.unionByName(parts).withColumn("summary", numbered)
 
@@ -83,8 +83,11 @@ def container_name(message: Column) -> Column:
 def community_list(members: DataFrame, entities: DataFrame, k: int, names: int = 10) -> DataFrame:
     """(community, size, names) of the largest communities, with the most mentioned names."""
     joined = members.join(entities.select(F.col("id").alias("node"), "name", "mention_count"), "node", "left")
-    grouped = joined.groupBy("community").agg(F.count("*").alias("size"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.coalesce("mention_count", F.lit(0))).alias("m"), "name"))), lambda s: s["name"]), 1, names).alias("names"))
-    return grouped.orderBy(F.desc("size"), "community").limit(k)
+    sizes = joined.groupBy("community").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "community").limit(k)
+    w = Window.partitionBy("community").orderBy(F.desc(F.coalesce("mention_count", F.lit(0))), "name", "node")
+    first = joined.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= names)
+    listed = first.groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda s: s["name"]).alias("names"))
+    return sizes.join(listed, "community", "left").orderBy(F.desc("size"), "community")
 
 
 def merged_communities(members: DataFrame, links: DataFrame, least: int = 15) -> DataFrame:
@@ -103,3 +106,21 @@ def ring_layout(nodes: DataFrame, radius: float = 100.0) -> DataFrame:
     w = Window.partitionBy("community")
     turn = 2 * 3.141592653589793 * (F.row_number().over(w.orderBy("node")) - 1) / F.count("*").over(w)
     return nodes.withColumn("turn", turn).select("node", "community", F.round(radius * F.cos("turn"), 4).alias("x"), F.round(radius * F.sin("turn"), 4).alias("y"))
+
+
+def error_patterns(errors: DataFrame) -> DataFrame:
+    """Known errors (id, error, context, solution, tags) as memories: structured text, tagged for error search."""
+    part = lambda head, body: F.when(F.length(F.trim(body)) > 0, F.concat(F.lit(f"**{head}:** "), body))
+    text = F.concat_ws("\n\n", F.concat(F.lit("## Error: "), "error"), part("Context", F.col("context")), part("Solution", F.col("solution")))
+    return errors.select("id", text.alias("content"), F.concat(F.array(F.lit("error-pattern")), F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"), F.lit("debugging").alias("category"))
+
+
+def community_summaries(members: DataFrame, entities: DataFrame, judge, k: int = 50, most: int = 30) -> DataFrame:
+    """(community, size, summary) of the k largest communities. The judge sees ``members``, at most ``most`` of "name: description", and adds summary."""
+    joined = members.join(entities.select(F.col("id").alias("node"), "name", "description", "mention_count"), "node")
+    sizes = joined.groupBy("community").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "community").limit(k)
+    w = Window.partitionBy("community").orderBy(F.desc("mention_count"), "name", "node")
+    line = F.concat_ws(": ", "name", F.left("description", F.lit(100)))
+    first = joined.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    listed = first.groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"]).alias("members"))
+    return judge(sizes.join(listed, "community")).where("length(summary) > 0").select("community", "size", "summary")

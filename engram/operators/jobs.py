@@ -201,3 +201,8 @@ def kept_first(lists: Sequence[DataFrame], key: str) -> DataFrame:
         rows = x if rows is None else rows.unionByName(x)
     first = rows.groupBy(key).agg(F.min(F.struct("list", "rank")).alias("f"))
     return first.select(key, "f.list", "f.rank")
+
+
+def compressed(hits: DataFrame, judge: Judge) -> DataFrame:
+    """Search hits with what a judge distils of each text, as answer; short texts, under 200 characters, as they are where it says nothing."""
+    return judge(hits).withColumn("answer", F.coalesce("answer", F.when(F.length("content") < 200, F.col("content"))))

@@ -97,10 +97,11 @@ def unprocessed(events: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def synthesis_candidates(entities: DataFrame, links: DataFrame, memories: DataFrame, cooling: DataFrame, least: int) -> DataFrame:
-    """Entities with at least ``least`` memories, newest first, that no recent marker names."""
+    """Entities with at least ``least`` memories, newest first, that no recent marker names. Ranked before five are collected, so that no list is long."""
     joined = links.join(memories.select(F.col("id").alias("memory_id"), "created_at"), "memory_id")
-    grouped = joined.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct((-F.unix_seconds("created_at")).alias("t"), F.col("memory_id").alias("m")))), lambda s: s["m"]).alias("ids"))
-    return grouped.where(F.col("n") >= least).join(cooling.select("id"), "id", "left_anti").join(entities.select("id", "name"), "id").select("id", "name", "n", F.array_join(F.slice("ids", 1, 5), ",").alias("newest"))
+    counts = joined.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    first = ranked(joined.withColumnRenamed("entity_id", "id"), "id", F.desc("created_at"), "memory_id").where("rank <= 5").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "memory_id"))), lambda s: s["memory_id"]).alias("ids"))
+    return counts.join(cooling.select("id"), "id", "left_anti").join(first, "id").join(entities.select("id", "name"), "id").select("id", "name", "n", F.array_join("ids", ",").alias("newest"))
 
 
 def underdescribed(entities: DataFrame, links: DataFrame) -> DataFrame:
@@ -145,7 +146,10 @@ def chunk_neighbours(hits: DataFrame, chunks: DataFrame, window: int) -> DataFra
     return near.groupBy("hit_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "id"))), lambda s: s["id"]), ",").alias("around"))
 
 
-def prunable(entities: DataFrame, links: DataFrame, most_links: int = 1) -> DataFrame:
+def prunable(entities: DataFrame, links: DataFrame, most_links: int = 1, as_of: str | None = None, hours: int = 0) -> DataFrame:
+    """Entities with few links; with ``as_of``, of those made more than ``hours`` before."""
+    if as_of is not None:
+        entities = entities.where(F.col("created_at") < F.lit(as_of).cast("timestamp") - F.make_dt_interval(hours=F.lit(hours)))
     counts = links.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("links"))
     return entities.join(counts, "id", "left").where(F.coalesce("links", F.lit(0)) <= most_links).select("id", "canonical_name", F.coalesce("links", F.lit(0)).alias("links"))
 

@@ -27,6 +27,11 @@ def decayed(memories: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     return memories.where(old | never).select("id", F.greatest(F.lit(0.1), F.col("stability") * 0.95).alias("stability"))
 
 
+def bundle(memories: DataFrame, links: DataFrame, as_of: str) -> DataFrame:
+    """Both kinds of upkeep in one patch (id, importance, stability), null where a rule leaves a row alone."""
+    return importance(memories, links).join(decayed(memories, as_of), "id", "full_outer")
+
+
 def archivable(memories: DataFrame, as_of: str, k: int, protected: Sequence[str] = PROTECTED, days: int = 30) -> DataFrame:
     old = memories.where("stability < 0.3 and importance < 0.2 and access_count = 0 and category is distinct from '_archived'").where(~F.col("source_type").isin(list(protected)) & (F.col("created_at") < ago(as_of, days)))
     return old.orderBy(F.asc_nulls_last("importance"), F.asc_nulls_last("stability"), "id").limit(k)

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stems import STOP_WORDS, stem, terms
 from ..functions.vectors import as_vector, cosine, relevance
 from .filters import matching
 
 MODEL = "current"
+WORD = re.compile("[a-z0-9]+")
 
 
 def scored(memories: DataFrame, vector: Sequence[float], include_cold: bool = False, model: str | None = MODEL) -> DataFrame:
@@ -68,10 +72,54 @@ def text_search(memories: DataFrame, query: str, k: int | None) -> DataFrame:
     return hits if k is None else hits.orderBy(F.desc("rank_score"), F.desc("importance"), "id").limit(k)
 
 
+def stemmed_counts(memories: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """(id, hits array<int>, words): how often each wanted stem stands in the content, and how many words it has. Whole texts, in Arrow batches."""
+    places = {t: i for i, t in enumerate(wanted)}
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            hits, sizes = [], []
+            for text in p["content"]:
+                found = [0] * len(places)
+                words = WORD.findall((text or "").lower())
+                for w in words:
+                    if (i := places.get(stem(w))) is not None and w not in STOP_WORDS:
+                        found[i] += 1
+                hits.append(found)
+                sizes.append(len(words))
+            yield pd.DataFrame({"id": p["id"], "hits": hits, "words": sizes})
+
+    return memories.select("id", "content").mapInPandas(run, "id long, hits array<int>, words long")
+
+
+def stemmed_search(memories: DataFrame, query: str, k: int | None) -> DataFrame:
+    """(id, rank_score, importance): rows that hold the stems of all words but stop words, by summed frequency over log length, then importance.
+
+    A query of stop words alone finds nothing."""
+    wanted = terms(query)
+    if not wanted:
+        return memories.limit(0).select("id", F.lit(0.0).alias("rank_score"), "importance")
+    found = stemmed_counts(memories, wanted).where(F.forall("hits", lambda n: n > 0))
+    score = F.aggregate("hits", F.lit(0), lambda a, n: a + n) / F.log(F.col("words") + F.lit(math.e))
+    hits = found.select("id", score.alias("rank_score")).join(memories.select("id", "importance"), "id")
+    return hits if k is None else hits.orderBy(F.desc("rank_score"), F.desc("importance"), "id").limit(k)
+
+
+def smart_recall(memories: DataFrame, vector: Sequence[float] | None, text: str, k: int, as_of: str, threshold: float = 0.25) -> DataFrame:
+    """(id, score): fused search, k of 20 at most; where the question could not be embedded (no vector), by words alone."""
+    k = max(1, min(k, 20))
+    if vector is None:
+        return text_search(memories, text, k).select("id", F.col("rank_score").alias("score"))
+    return hybrid_search(memories, vector, text, k, threshold, as_of).select("id", "score")
+
+
+def code_search(memories: DataFrame, query: str, tags: Sequence[str], k: int) -> DataFrame:
+    """Symbols (id, language, kind) whose text holds the words, of rows with one of the tags."""
+    return text_search(matching(memories, tags=tags), query, k).select("id", "symbol.*")
+
+
 def _parsed(query: str) -> list[tuple[bool, list[list[str]]]]:
     """(negative, alternatives), each alternative a phrase of words."""
-    import re
-
     out: list[tuple[bool, list[list[str]]]] = []
     joined = False
     for quoted, plain in re.findall(r'(-?"[^"]*")|(\S+)', query.lower()):

@@ -87,3 +87,34 @@ def extension_counts(paths: DataFrame) -> DataFrame:
     """Files by extension and by first folder of a path column."""
     p = paths.withColumn("extension", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))).withColumn("top", F.substring_index("path", "/", 1))
     return p.groupBy("top", "extension").agg(F.count("*").alias("n"))
+
+
+def pulse_lists(memories: DataFrame, k: int) -> DataFrame:
+    """(kind, name, n): the k largest categories, all machines, all models."""
+    count = lambda kind, name: memories.select(F.lit(kind).alias("kind"), name.alias("name")).where("name is not null").groupBy("kind", "name").agg(F.count("*").alias("n"))
+    top = count("category", F.col("category")).orderBy(F.desc("n"), "name").limit(k)
+    return top.unionByName(count("machine", F.col("source_machine"))).unionByName(count("model", F.coalesce("embedding_model", F.lit("unknown"))))
+
+
+def briefing(memories: DataFrame, events: DataFrame, as_of: str, k: int = 5) -> DataFrame:
+    """(kind, name, n): totals, the k largest categories, the k last events with their moment in microseconds."""
+    row = memories.agg(F.count("*").alias("memories"), F.count_if(F.col("created_at") >= ago(as_of, 1)).alias("last_day"))
+    totals = row.select(F.explode(F.array(*[F.struct(F.lit("total").alias("kind"), F.lit(c).alias("name"), F.col(c).alias("n")) for c in row.columns])).alias("r")).select("r.*")
+    top = group_counts(memories.where("category is not null"), "category").orderBy(F.desc("n"), "value").limit(k).select(F.lit("category").alias("kind"), F.col("value").alias("name"), "n")
+    last = events.orderBy(F.desc("created_at"), F.desc("id")).limit(k).select(F.lit("event").alias("kind"), F.concat_ws(" ", "event_type", F.col("id").cast("string")).alias("name"), F.unix_micros("created_at").alias("n"))
+    return totals.unionByName(top).unionByName(last)
+
+
+def scheduler_counts(events: DataFrame, memories: DataFrame, entities: DataFrame, as_of: str) -> DataFrame:
+    """One row of what was done and what is waiting; three one-row aggregates side by side."""
+    kind = F.col("event_type")
+    e = events.agg(F.count_if(kind == "error").alias("errors"), F.count_if((kind == "error") & (F.col("created_at") >= ago(as_of, 7))).alias("errors_week"), F.count_if(kind == "task_complete").alias("done"), F.count_if(kind == "insight_processed").alias("processed"))
+    status = F.col("extraction_status")
+    m = memories.agg(F.count_if(F.col("summary").isNull()).alias("unsummarised"), F.count_if(F.col("quality_score").isNull()).alias("unscored"), F.count_if(status.isNull() | (status == "failed")).alias("unextracted"))
+    return e.join(m).join(entities.agg(F.count_if(F.col("description").isNull() | (F.length("description") < 20)).alias("undescribed")))
+
+
+def path_tree(files: DataFrame) -> DataFrame:
+    """(top, second, files) of paths: files by the first two levels of the tree; empty where a path has no such level."""
+    part = F.split("path", "/")
+    return files.select(F.coalesce(F.get(part, F.lit(0)), F.lit("")).alias("top"), F.coalesce(F.get(part, F.lit(1)), F.lit("")).alias("second")).groupBy("top", "second").agg(F.count("*").alias("files"))

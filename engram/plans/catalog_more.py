@@ -76,7 +76,7 @@ def handoff_pickup(t):
     return ingest.open_handoffs(t.memories.withColumn("tags", tags), 10).select("id")
 
 
-@query()
+@query("SELECT doc_id, '# Handoff ' || doc_id || chr(10) || chr(10) || '## Done' || chr(10) || '1. ' || lang || chr(10) || '2. ' || source || chr(10) || chr(10) || '## To do' || chr(10) || '1. review' || CASE WHEN text <> '' THEN chr(10) || chr(10) || '## Notes' || chr(10) || left(text, 80) ELSE '' END AS content FROM documents")
 def handoff_create(t):
     rows = t.raw("documents").select("doc_id", ingest.handoff_document(F.concat(F.lit("Handoff "), "doc_id"), F.array("lang", "source"), F.array(F.lit("review")), F.left("text", F.lit(80))).alias("content"))
     return rows
@@ -146,10 +146,11 @@ def version_restore(t):
     return maintain.patched(now, history, ["category"])
 
 
-@query("SELECT page_id AS url, length(html) BETWEEN 0.8 * length(html) AND 1.2 * length(html) AND page_id % 5 <> 0 AS unchanged FROM pages WHERE html IS NOT NULL AND html <> ''")
+@query("SELECT page_id AS url, length(now) BETWEEN 0.8 * length(html) AND 1.2 * length(html) AND left(html, 500) = left(now, 500) AS unchanged FROM (SELECT *, CASE page_id % 5 WHEN 0 THEN 'new ' || html WHEN 1 THEN html || repeat('x', length(html) // 2) WHEN 2 THEN html || 'x' ELSE html END AS now FROM pages WHERE html IS NOT NULL AND html <> '')")
 def freshness_check(t):
     p = t.raw("pages").where("html is not null and html <> ''").select(F.col("page_id").alias("url"), F.col("html").alias("content"))
-    new = p.withColumn("content", F.when(F.col("url") % 5 == 0, F.concat(F.lit("new "), "content")).otherwise(F.col("content")))
+    kind = F.col("url") % 5
+    new = p.withColumn("content", F.when(kind == 0, F.concat(F.lit("new "), "content")).when(kind == 1, F.concat("content", F.expr("repeat('x', cast(length(content) div 2 as int))"))).when(kind == 2, F.concat("content", F.lit("x"))).otherwise(F.col("content")))
     return maintain.freshness(p, new)
 
 
@@ -183,12 +184,13 @@ def global_search(t):
     return sim.groupBy("community").agg(F.avg("s").alias("score"), F.count("*").alias("n")).orderBy(F.desc("score"), "community").limit(10)
 
 
-@query()
+@query(r"SELECT id, left(CASE WHEN regexp_matches(c, '(?s)^.*?[.!?]\s') THEN regexp_extract(c, '(?s)^(.*?[.!?])\s', 1) ELSE c END, 120) AS summary FROM (SELECT id, regexp_replace(left(content, 6000), '^\s+|\s+$', '', 'g') AS c FROM memories WHERE summary IS NULL AND length(content) > 50 ORDER BY created_at, id LIMIT 50)")
 def auto_summarise(t):
     return providers.summarised(filters.unsummarised(t.memories, 50), providers.first_sentence)
 
 
-@query()
+@query("""SELECT b AS new_id, CASE WHEN s >= 0.5 THEN 'NOOP' WHEN s >= 0.4 THEN 'UPDATE' ELSE 'ADD' END AS action, a AS target_id FROM (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY b.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, a.vec_id) AS n
+ FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.35) WHERE n = 1""")
 def write_decisions(t):
     pairs = joins.similar_pairs(t.raw("embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.35)
     return providers.write_decision(pairs.select(F.col("b").alias("new_id"), F.col("a").alias("old_id"), "similarity"), 0.5, 0.4)

@@ -2,7 +2,7 @@
 
 import pandas as pd
 
-from engram.plans import catalog, catalog_jobs, catalog_more  # noqa: F401
+from engram.plans import catalog, catalog_jobs, catalog_more, catalog_rest  # noqa: F401
 from engram.plans.fixtures import Tables
 
 DATA = "/root/testdata/sf0.001"
