@@ -137,7 +137,7 @@ def consolidation_checked(t):
 NEWEST = "SELECT l.entity_id AS id, list(left(m.content, {most}) ORDER BY m.created_at DESC, m.id)[1:{k}] AS texts FROM (SELECT DISTINCT entity_id, memory_id FROM entity_memories) l JOIN memories m ON m.id = l.memory_id GROUP BY 1"
 
 
-@query(f"SELECT {sha(chr(39) + 'synthesis' + chr(39), chr(39) + 'Synthesis: ' + chr(39) + ' || name', 'content')} AS id, content, round(len(texts) / 10, 4) AS confidence FROM (SELECT e.name, texts, 'About ' || e.name || ': ' || left(texts[1], 60) AS content FROM ({NEWEST.format(most=500, k=5)}) n JOIN entities e ON e.id = n.id) WHERE len(texts) >= 4")
+@query(f"SELECT {sha(chr(39) + 'synthesis' + chr(39), chr(39) + 'Synthesis: ' + chr(39) + ' || name', 'content')} AS id, content, round(len(texts) / 10, 4) AS confidence FROM (SELECT e.name, texts, trim('About ' || e.name || ': ' || left(texts[1], 60)) AS content FROM ({NEWEST.format(most=500, k=5)}) n JOIN entities e ON e.id = n.id) WHERE len(texts) >= 4")
 def synthesis_insights(t):
     judge = lambda df: df.withColumn("insight", F.concat(F.lit("About "), "name", F.lit(": "), F.left(F.col("texts")[0], F.lit(60)))).withColumn("confidence", F.size("texts") / 10)
     return jobs.synthesised(t.entities, t.entities, t.entity_memories, t.memories, judge, AS_OF)["memories"].select("id", "content", F.round("confidence", 4).alias("confidence"))
