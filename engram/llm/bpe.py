@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import documents_of
+from .common import documents_of, kept_for_tasks
 
 KEPT_CHUNKS = 800_000
 KEPT_WORDS = 400_000
@@ -265,14 +265,11 @@ class Encoder:
         return v.tokenizer.decode(ids.tolist(), skip_special_tokens=False).encode()
 
 
-_encoders: dict[tuple[str, type], Encoder] = {}
-
-
 def encoder(path: str, bpe: type = TrieBpe) -> Encoder:
-    """One for each worker process, kept from task to task."""
-    if (path, bpe) not in _encoders:
-        _encoders[path, bpe] = Encoder(path, bpe)
-    return _encoders[path, bpe]
+    """One for each worker process, kept from task to task until one of another kind lets it go."""
+    if (path, bpe) not in kept_for_tasks:
+        kept_for_tasks[path, bpe] = Encoder(path, bpe)
+    return kept_for_tasks[path, bpe]
 
 
 def in_groups(texts: list[bytes | None], most: int = 1 << 21) -> Iterator[list[bytes]]:

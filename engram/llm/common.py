@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -111,6 +112,17 @@ def sifted(df: DataFrame, key: Column, keys: DataFrame) -> Callable[..., DataFra
     return choose
 
 
+#: What tasks of one kind keep in their Python worker for the next ones.
+kept_for_tasks: dict = {}
+
+
+def let_go() -> None:
+    """At the start of a task that needs memory of its own: what tasks of other kinds have left in this worker goes."""
+    if kept_for_tasks:
+        kept_for_tasks.clear()
+        gc.collect()
+
+
 def documents_of(df: DataFrame) -> DataFrame:
     """The two columns that the text operators use; any others, whatever their names, are left out."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import groups, strings, written
+from .common import groups, let_go, strings, written
 
 GROUP_BYTES = 1 << 19
 
@@ -35,6 +35,7 @@ def training_sample(documents: DataFrame, labels: DataFrame, label: str, folds:
     texts = documents.select(F.col("doc_id").cast("long").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             data, offsets = strings(b.column(2))
             for i, j in groups(offsets, GROUP_BYTES):

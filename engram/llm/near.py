@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents_of, groups, sifted, strings, written
+from .common import discard, documents_of, groups, let_go, sifted, strings, written
 from .components import components
 from .textvec import mixed, shingles, word_hashes
 
@@ -114,6 +114,7 @@ def sketch_documents(documents: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, set_key, registers of every row; key and registers null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             data, offsets = strings(b.column(1))
             for i, j in groups(offsets, 1 << 20):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents_of, sifted, strings, written
+from .common import discard, documents_of, let_go, sifted, strings, written
 from .textvec import BYTE_VALUE, _MULT, mixed
 
 LENGTH, STEP = 400, 100
@@ -202,6 +202,7 @@ def runs_table(keyed: DataFrame, length: int) -> DataFrame:
     """Every run: its least hash, a digest of its bytes, its document's key, first window, windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             data, offsets = strings(b.column(2))
             rows: list[tuple] = []
