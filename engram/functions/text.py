@@ -101,39 +101,41 @@ def embedding_input(prefix: Column, category: Column, tags: Column, content: Col
     return F.concat_ws(". ", prefix, category, F.when(F.size(tags) > 0, F.array_join(tags, ", ")), content)
 
 
-def chunks_of(text: str, most: int = 6000, overlap: int = 500, tail: bool = True) -> list[tuple[str, int]]:
-    """(chunk, offset): cut at the last paragraph, line or sentence end beyond a third, else at ``most``.
-
-    With ``tail``, a last chunk longer than the overlap is followed by its final overlap, as the known
-    engine does; without, it is not. Where each chunk starts depends on the cut before it."""
-    if not text or not text.strip():
-        return []
+def chunk_end(text: str, at: int, most: int) -> int:
+    """Where the chunk from ``at`` on ends: before the last paragraph mark, else the last line mark, else after the last
+    full stop, else exclamation mark, else question mark, whichever first lies beyond a third of ``most``; else after ``most``."""
+    limit = at + most
+    if limit >= len(text):
+        return len(text)
+    for mark, kept in (("\n\n", 0), ("\n", 0), (". ", 2), ("! ", 2), ("? ", 2)):
+        place = text.rfind(mark, at, limit)
+        if place - at > most // 3:
+            return place + kept
+    return limit
+
+
+def chunks_of(text: str | None, most: int = 6000, overlap: int = 500) -> list[tuple[str, int]]:
+    """(chunk, offset) of the trimmed text: each chunk starts ``overlap`` characters before the end of the one before, or at
+    its end where that would not move on. A last chunk longer than the overlap is so followed by its own final part."""
+    text = (text or "").strip()
     if len(text) <= most:
-        return [(text.strip(), 0)]
+        return [(text, 0)] if text else []
     out, at = [], 0
     while at < len(text):
-        end = min(at + most, len(text))
-        if end < len(text):
-            for marks in (("\n\n",), ("\n",), (". ", "! ", "? ")):
-                place = max(text.rfind(m, at, end) + len(m) if text.rfind(m, at, end) >= 0 else -1 for m in marks)
-                if place - at > most / 3:
-                    end = place
-                    break
+        end = chunk_end(text, at, most)
         if piece := text[at:end].strip():
             out.append((piece, at))
-        if end >= len(text) and (not tail or end - at <= overlap):
-            break
-        at = max(end - overlap, at + 1)
+        at = end - overlap if end - overlap > at else end
     return out
 
 
-def chunked(documents: DataFrame, most: int = 6000, overlap: int = 500, tail: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+def chunked(documents: DataFrame, most: int = 6000, overlap: int = 500, keep: Sequence[str] = ()) -> DataFrame:
     """id, chunk_index, chunk_total, chunk_offset, chunk of every document with text, and its columns of ``keep``."""
     names = ["id", "chunk_index", "chunk_total", "chunk_offset", "chunk", *keep]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
-            found = [(i, k, len(c), o, t, *more) for i, text, *more in rows.itertuples(index=False) for c in [chunks_of(text or "", most, overlap, tail)] for k, (t, o) in enumerate(c)]
+            found = [(i, k, len(c), o, t, *more) for i, text, *more in rows.itertuples(index=False) for c in [chunks_of(text, most, overlap)] for k, (t, o) in enumerate(c)]
             yield pd.DataFrame(found, columns=names)
 
     kinds = dict(documents.dtypes)

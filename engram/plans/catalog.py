@@ -574,7 +574,20 @@ def category_normalize(t):
     return t.memories.where("category is not null").select("id", T.category_of(F.col("category")).alias("category"))
 
 
-@query()
+def chunks_sql(rows: str, most: int = 6000, overlap: int = 500) -> str:
+    """SQL of (id, chunk_index, chunk_total, chunk_offset, chunk) over ``rows`` (id, content): the chunk rule as a recursion over places."""
+    before = lambda mark: f"length(regexp_extract(substr(text, pos + 1, {most}), '(?s)^(.*){mark}', 1))"
+    cases = " ".join(f"WHEN {before(mark)} > {most // 3} THEN pos + {before(mark)} + {kept}" for mark, kept in (("\\n\\n", 0), ("\\n", 0), ("\\. ", 2), ("! ", 2), ("\\? ", 2)))
+    end = f"CASE WHEN pos + {most} >= length(text) THEN length(text) {cases} ELSE pos + {most} END"
+    trimmed = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"""SELECT id, row_number() OVER (PARTITION BY id ORDER BY chunk_offset) - 1 AS chunk_index, count(*) OVER (PARTITION BY id) AS chunk_total, chunk_offset, chunk FROM (
+ WITH RECURSIVE t AS (SELECT id, {trimmed('content')} AS text FROM ({rows})), c AS (
+  SELECT id, text, pos, {end} AS fin FROM (SELECT id, text, 0 AS pos FROM t WHERE length(text) > {most})
+  UNION ALL SELECT id, text, pos, {end} FROM (SELECT id, text, CASE WHEN fin - {overlap} > pos THEN fin - {overlap} ELSE fin END AS pos FROM c) WHERE pos < length(text))
+ SELECT id, pos AS chunk_offset, {trimmed('substr(text, pos + 1, fin - pos)')} AS chunk FROM c UNION ALL SELECT id, 0, text FROM t WHERE length(text) <= {most}) WHERE chunk <> ''"""
+
+
+@query(chunks_sql("SELECT id, content FROM memories"))
 def chunk_text(t):
     return T.chunked(t.memories)
 

@@ -9,7 +9,7 @@ from ..functions.vectors import cosine
 from ..operators import filters, graph, ingest, joins, maintain, retrieval, stats
 from ..sources import importers
 from . import providers
-from .catalog import QV, SYM, TOK, TS, query, query_vector, relation_pairs
+from .catalog import QV, SYM, TOK, TS, chunks_sql, query, query_vector, relation_pairs
 from .fixtures import AS_OF
 
 
@@ -22,14 +22,14 @@ def document_store_short(t):
     return ingest.document_store(titled(t)).where("chunk_total = 1").select("document_id", "summary", F.length("content").cast("long").alias("chars"))
 
 
-@query()
+@query(f"SELECT id AS document_id, chunk_index, chunk_total, chunk_offset, 'doc ' || id || ' [' || (chunk_index + 1) || '/' || chunk_total || ']' AS summary, chunk AS content FROM ({chunks_sql('SELECT doc_id AS id, text AS content FROM documents WHERE length(text) > 8000')})")
 def document_store_chunks(t):
-    return ingest.document_store(titled(t)).where("chunk_total > 1").select("document_id", "chunk_index", "chunk_total", "chunk_offset", "summary")
+    return ingest.document_store(titled(t)).where("chunk_total > 1").select("document_id", "chunk_index", "chunk_total", "chunk_offset", "summary", "content")
 
 
-@query()
+@query(f"SELECT id AS rechunked_from, chunk_index, chunk_total, chunk_offset, chunk FROM ({chunks_sql('SELECT id, content FROM memories WHERE length(content) > 8000')})")
 def rechunk(t):
-    return ingest.rechunked(t.memories.withColumn("chunk_index", F.lit(None).cast("long"))).select("rechunked_from", "chunk_index", "chunk_offset")
+    return ingest.rechunked(t.memories.withColumn("chunk_index", F.lit(None).cast("long"))).select("rechunked_from", "chunk_index", "chunk_total", "chunk_offset", "chunk")
 
 
 @query()

@@ -19,10 +19,20 @@ from engram.streaming import stateful
 def test_chunks_of():
     text = "abcdefghijklmno"
     assert T.chunks_of(text, 10, 3) == [("abcdefghij", 0), ("hijklmno", 7), ("mno", 12)]
-    assert T.chunks_of(text, 10, 3, tail=False) == [("abcdefghij", 0), ("hijklmno", 7)]
     assert T.chunks_of("short", 10, 3) == [("short", 0)]
     assert T.chunks_of("  \n ", 10, 3) == []
     assert T.chunks_of(None) == []
+    # The last mark beyond a third, by kind: paragraph, line, full stop, exclamation, question; marks of lines stay out, of sentences in.
+    offsets = lambda text: [o for _, o in T.chunks_of(text)]
+    assert offsets("a" * 3000 + "\n\n" + "b" * 5000) == [0, 2500, 7502]
+    assert offsets("a" * 3000 + "\n" + "b" * 5000) == [0, 2500, 7501]
+    assert offsets("a" * 3000 + "\n\n" + "b" * 2000 + "\n" + "c" * 3000)[:2] == [0, 2500]
+    assert offsets("a" * 4002 + ". " + "b" * 999 + "! " + "c" * 3000)[:2] == [0, 3504]
+    assert offsets("a" * 4002 + "? " + "b" * 99 + "! " + "c" * 3000)[:2] == [0, 3605]
+    assert offsets("a" * 4002 + "? " + "b" * 4000)[:2] == [0, 3504]
+    assert offsets("a" * 2000 + ". " + "b" * 8000)[:2] == [0, 5500] and offsets("a" * 2001 + ". " + "b" * 8000)[:2] == [0, 1503]
+    assert T.chunks_of("  " + "a" * 12 + "  ", 10, 10) == [("a" * 10, 0), ("a" * 2, 10)]
+    assert T.chunks_of("ab " * 8, 9, 3)[0] == ("ab ab ab", 0)
 
 
 def test_noise(spark):
