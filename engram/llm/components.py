@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from .common import discard, written
 
 
-def _stars(edges: DataFrame, small: bool) -> DataFrame:
+def _stars(edges: DataFrame, small: bool, made: list[DataFrame]) -> DataFrame:
     """One round: connect neighbours to the least node around. Each hub's minimum is a partial aggregate; no group is gathered."""
     if small:
         around = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     else:
         around = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # Written, so that the join deals both sides anew and Spark can split a star's centre.
+    least = written(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
+    made.append(least)
     joined = around.join(least, "u")
     if small:
         moved = joined.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
@@ -35,5 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
             discard(now)
             return found
         before, last = (state.n, state.h), now
-        now = written(_stars(_stars(now, small=False), small=True), "cc-edges")
-        discard(last)
+        made: list[DataFrame] = []
+        large = written(_stars(now, False, made), "cc-edges")
+        now = written(_stars(large, True, made), "cc-edges")
+        discard(last, large, *made)

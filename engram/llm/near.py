@@ -17,8 +17,8 @@ spaced logarithm floor(1 - log_b(least h_i(x))), h_i exponentially distributed;
 4. Components of all links, spread to all documents.
 
 Full sets are made anew from the texts of candidates, which a Bloom filter of fixed size picks out while the
-texts are read, so that sets are shuffled but texts never are. No bucket is gathered whole: hubs are partial aggregates, joins on hot buckets or hubs can be split, and
-blocks are of bounded size.
+texts are read, so that sets are shuffled but texts never are. No bucket is gathered whole: hubs are partial aggregates, written before
+the joins on buckets, hubs and components, which Spark can therefore split, and blocks are of bounded size.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing; a text of
 fewer words than a shingle is one shingle; repeated rows fall in one class; rows that repeat an
@@ -168,25 +168,27 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     classes = written(grouped.withColumn("cls", F.monotonically_increasing_id()), "near-classes")
 
     buckets = bands(classes)
-    several = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    # Aggregates are written before a join with many rows of one key: Spark splits a crowded key only where both sides are dealt for the join.
+    several = written(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "near-several")
     members = written(buckets.join(several, "bucket"), "near-members")
-    degree = members.groupBy("cls").agg(F.sum("size").alias("degree"))
+    discard(several)
+    degree = members.groupBy("cls").agg(F.sum("size").alias("degree"))  # a class has 32 buckets at most
     sketches = written(classes.join(degree, "cls").select("cls", "n", "registers", "rep", "set_key"), "near-involved")
     comp = None  # (node, root) of classes in a component of several
     if not sketches.isEmpty():
         sets = written(full_sets(documents, sketches, n), "near-sets")
-        hubs = members.join(degree, "cls").groupBy("bucket").agg(F.max_by("cls", F.struct("degree", -F.col("cls"))).alias("hub"))
+        hubs = written(members.join(degree, "cls").groupBy("bucket").agg(F.max_by("cls", F.struct("degree", -F.col("cls"))).alias("hub")), "near-hubs")
         pairs = members.join(hubs, "bucket").where("cls <> hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
         links = confirmed(pairs, sketches, sets, percent)
         comp = components(links)
         labelled = members.join(comp, F.col("cls") == F.col("node"), "left").select("bucket", "cls", "size", F.coalesce("root", "cls").alias("root"))
-        mixed_up = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+        mixed_up = written(labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket"), "near-mixed")
         rest = searched(labelled.join(mixed_up, "bucket"), sketches, sets, percent)
         if not rest.isEmpty():
             both = components(links.unionByName(rest))
             discard(comp)
             comp = both
-        discard(links, rest, sets)
+        discard(links, rest, sets, hubs, mixed_up)
     discard(members, sketches)
 
     rows = sketched.join(classes.select("set_key", "cls", "rep"), "set_key", "left").select("doc_id", "n_shingles", "cls", "rep")
@@ -197,7 +199,7 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     same = repeated(rows)
     if same is not None:
         rows = rows.join(same, F.col("cls") == F.col("node"), "left").withColumn("cls", F.coalesce("root", "cls")).select("doc_id", "n_shingles", "cls", "rep")
-    least = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    least = written(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least")), "near-least")
     out = rows.join(least, "cls", "left").withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
@@ -216,7 +218,7 @@ def searched(labelled: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
         return cell.table.select(["bucket", "cls", "root", "n"]).filter(pa.array(keep))
 
     left = written(over_cells(light, sift, "bucket long, cls long, root long, n long").distinct(), "near-left")
-    bytes_in = left.groupBy("bucket").agg(F.sum(F.col("n") * 8).alias("bytes"))
+    bytes_in = written(left.groupBy("bucket").agg(F.sum(F.col("n") * 8).alias("bytes")), "near-bytes")
     heavy = cells(left.join(bytes_in, "bucket"), F.ceil(F.col("bytes") / BLOCK_BYTES))
     full = heavy.join(sketches.select("cls", "n", "registers"), "cls").join(sets.select("cls", "shingles"), "cls")
 
@@ -235,7 +237,7 @@ def searched(labelled: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     found = written(over_cells(full, verify, "a long, b long").distinct(), "near-rest")
-    discard(left)
+    discard(left, bytes_in)
     return found
 
 
