@@ -241,6 +241,7 @@ def held(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     The latter are (h, k1, k2, a, r, once, crowd) and bytes if ``runs`` have them; crowd counts the distinct runs of a hash."""
     extra = [c for c in runs.columns if c == "bytes"]
     by_hash = runs.groupBy("h").agg(F.count("*").alias("n"), F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.max("own").alias("any_own")).where("n > 1 or any_own").select("h", (F.col("lo") != F.col("hi")).alias("several"))
+    by_hash = written(by_hash, "suffix-hashes")  # before the join, so that Spark can split a hash that many documents share
     shared = written(runs.join(by_hash, "h"), "suffix-shared")
     groups = shared.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "a", "r", *extra)).alias("at"), F.max("own").alias("own"), F.max("several").alias("several"), F.max("once").alias("once"))
     distinct = written(groups.select("h", "c1", "c2", "n", "at.*", "own", "several", "once"), "suffix-distinct")
@@ -250,7 +251,7 @@ def held(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     crowd = written(distinct.where("several").groupBy("h").agg(F.count("*").alias("crowd")), "suffix-crowd")
     left = distinct.where("several or (own and n = 1)").join(crowd, "h", "left")
     left = written(left.select("h", "k1", "k2", "a", "r", F.expr("once and n = 1").alias("once"), F.coalesce("crowd", F.lit(1)).alias("crowd"), *extra), "suffix-left")
-    discard(shared, distinct, crowd)
+    discard(shared, distinct, crowd, by_hash)
     return whole, left
 
 
