@@ -121,8 +121,11 @@ def train(rows: list[tuple[int, np.ndarray]], ratio: np.ndarray, rate: float = 0
     return w, float(bias)
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 3000, bits: int = 21, folds: int = 4, held_out: int = 2, smooth: float = 0.5, least: float = 2.5, support: int = 4) -> RatioModel:
-    """Learn from at most ``sample`` labelled rows outside the held-out fold."""
+def fit_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 3000, bits: int = 21, folds: int = 4, held_out: int = 2, smooth: float = 0.5, least: float = 2.5, support: int = 4, places: int = 1 << 24) -> RatioModel:
+    """Learn from at most ``sample`` labelled rows outside the held-out fold.
+
+    All of them give the ratios. The weights are learnt from the first of them, by identifier hash, that have ``places`` telling
+    n-grams together at most: the bound of the driver's memory, reached by rows of over ``places / sample`` such n-grams each (5,592)."""
     chosen = training_sample(documents, labels, "toxic", folds, held_out, sample, lambda data, offsets: present(data, offsets, bits))
     kinds = chosen.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("positive"), F.count("*").alias("n")).first()
     positive, n = kinds.positive, kinds.n
@@ -142,7 +145,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 3000, bi
             lists = [x[marks[x]] for x in (v.values.to_numpy(zero_copy_only=False) for v in b.column(3))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(lists, pa.list_(pa.int32()))], b.schema.names)
 
-    rows = within(chosen.mapInArrow(telling, chosen.schema), sample, 1 << 24)
+    rows = within(chosen.mapInArrow(telling, chosen.schema), sample, places)
     discard(chosen)
     w, bias = train(rows, ratio)
     return RatioModel((w * ratio).astype(np.float32), bias, bits)
@@ -161,7 +164,7 @@ def score_toxicity(documents: DataFrame, model: RatioModel) -> DataFrame:
     return documents_of(documents).mapInArrow(run, "doc_id long, score double")
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, sample: int = 3000, threshold: float = 0.3, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
-    model = fit_toxicity(documents, labels, sample, folds=folds, held_out=held_out)
+def toxicity(documents: DataFrame, labels: DataFrame, sample: int = 3000, threshold: float = 0.3, folds: int = 4, held_out: int = 2, places: int = 1 << 24) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; ``sample`` and ``places`` bound what the classifier learns from."""
+    model = fit_toxicity(documents, labels, sample, folds=folds, held_out=held_out, places=places)
     return score_toxicity(documents, model).select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
