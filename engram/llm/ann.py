@@ -163,13 +163,10 @@ def packed(x: DataFrame, tree: Tree, size: int) -> DataFrame:
 
 def top(q: np.ndarray, q_id: int, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and distances of the k nearest rows, ties by identifier."""
-    d = np.sqrt(((x - q) ** 2).sum(1))
-    d[ids == q_id] = np.inf
-    if len(d) > k:
-        near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-    else:
-        near = np.arange(len(d))
-    near = near[np.isfinite(d[near])]
+    with np.errstate(over="ignore"):
+        d = np.sqrt(((x - q) ** 2).sum(1))  # of finite vectors; infinite where the sum is, and ordered last
+    others = np.flatnonzero(ids != q_id)
+    near = others[d[others] <= np.partition(d[others], k - 1)[k - 1]] if len(others) > k else others
     near = near[np.lexsort((ids[near], d[near]))][:k]
     return near, d[near]
 
@@ -198,11 +195,11 @@ def true_leaves(rows: DataFrame, queries: list[tuple[int, np.ndarray]], k: int)
     return out
 
 
-def nearest_neighbours(embeddings: DataFrame, every: int = 100, k: int = 10, target: float = 0.96, sample: int = 20_000, calibration: int = 100) -> DataFrame:
+def nearest_neighbours(embeddings: DataFrame, every: int = 100, k: int = 10, target: float = 0.96, sample: int = 20_000, calibration: int = 200) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose identifier is divisible by ``every``.
 
-    calibrated_recall, the same in every row, is the share of the calibration queries' true neighbours that the
-    leaves visited hold; null without any."""
+    calibrated_recall, the same in every row, is the share of true neighbours in the leaves visited, of those calibration
+    queries that did not choose the number of visits (of the one that did, if there is but one); null without any."""
     spark = embeddings.sparkSession
     schema = "query_id long, rank int, vec_id long, score double, calibrated_recall double"
     x, size = usable(embeddings)
@@ -218,7 +215,10 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 100, k: int = 10, tar
         sizes[r.leaf] = r["count"]
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     some = [(r.vec_id, np.frombuffer(r.vector, "<f8")) for r in queries.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(calibration).collect()]
-    visits, recall = calibrated(tree, some, true_leaves(rows, some, k), target)
+    # Half of the queries choose the visits, the other half, if there is one, tell the recall.
+    true = true_leaves(rows, some, k)
+    visits, recall = calibrated(tree, some[::2], true, target)
+    recall = recall_at(tree, some[1::2], true, visits) if len(some) > 1 else recall
 
     shared = spark.sparkContext.broadcast((tree, sizes))
 
@@ -260,13 +260,25 @@ def leaves_for(rows: int, sampled: int) -> int:
     return int(min(MOST_LEAVES, max(BRANCHES, rows // LEAF_ROWS), max(1, sampled // 8)))
 
 
-def calibrated(tree: Tree, queries: list[tuple[int, np.ndarray]], true: dict[int, list[int]], target: float) -> tuple[int, float | None]:
-    """The least number of leaf visits that finds ``target`` of the true neighbours, and the share that it finds."""
+def places_in(tree: Tree, queries: list[tuple[int, np.ndarray]], true: dict[int, list[int]]) -> np.ndarray:
+    """For each true neighbour, after how many leaf visits it is found."""
     at = []
     for q_id, q in queries:
         place = {leaf: i for i, leaf in enumerate(tree.order(q), 1)}
         at += [place[leaf] for leaf in true.get(q_id, ())]
-    if not at:
+    return np.sort(np.array(at, np.int64))
+
+
+def calibrated(tree: Tree, queries: list[tuple[int, np.ndarray]], true: dict[int, list[int]], target: float) -> tuple[int, float | None]:
+    """The least number of leaf visits that finds ``target`` of the true neighbours, and the share that it finds."""
+    at = places_in(tree, queries, true)
+    if not len(at):
         return 1, None
-    visits = int(np.sort(at)[min(len(at) - 1, int(np.ceil(target * len(at))) - 1)])
-    return visits, float(np.mean(np.array(at) <= visits))
+    visits = int(at[min(len(at) - 1, int(np.ceil(target * len(at))) - 1)])
+    return visits, float(np.mean(at <= visits))
+
+
+def recall_at(tree: Tree, queries: list[tuple[int, np.ndarray]], true: dict[int, list[int]], visits: int) -> float | None:
+    """The share of the queries' true neighbours that so many leaf visits find."""
+    at = places_in(tree, queries, true)
+    return float(np.mean(at <= visits)) if len(at) else None
