@@ -2,7 +2,8 @@
 
 Each partition encodes its documents, cuts only those longer than ``size`` (the first piece takes what is
 left over, the others are full), and packs its pieces best-fit by falling length, a window of them at a
-time; sequences stay open to all windows of their partition. Nearly full sequences
+time; sequences stay open to all windows of their leaf, which is the partition, or ``SEGMENT`` pieces of one that
+has more: placed pieces are held in memory, 56 bytes each, until it is known which sequences go up. Nearly full sequences
 (within ``slack`` tokens) are final; underfull ones are items of the next round, where groups of ``FAN_IN``
 partitions' residues are merged best-fit, and so on up a tree to one root.
 
@@ -18,7 +19,6 @@ result; other columns are never read.
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,7 +34,8 @@ from .bpe import LibraryBpe, encoder, in_groups
 from .common import documents_of, written
 
 FAN_IN, PASSED = 8, 64
-WINDOW = 200_000
+WINDOW, SEGMENT = 200_000, 1_000_000
+SEGMENTS = 1 << 20  # of a partition at most
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 ROWS = f"{PIECES}, sequence_id long, offset long, open boolean, node long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_()), ("node", pa.int64())])
@@ -78,7 +79,7 @@ class Bins:
 
     Pieces come after those that a sequence has, so that of an open one only its name is held, by its space.
     A piece opens a sequence only where it fits none, so that at most one is half full or less and
-    the names are no more than twice the partition's tokens over ``size``."""
+    the names are no more than twice the leaf's tokens over ``size``."""
 
     def __init__(self, size: int, first: int):
         self.size, self.next = size, first
@@ -128,42 +129,40 @@ def pack_partitions(documents: DataFrame, tokenizer: str, end_id: int, size: int
     """The first round: every piece's sequence within its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, node = encoder(tokenizer, LibraryBpe), TaskContext.get().partitionId()
+        e, node = encoder(tokenizer, LibraryBpe), TaskContext.get().partitionId() * SEGMENTS
         end = int(end_id).to_bytes(4, "little")
-        bins, rows = Bins(size, node << 33), []
+        bins, rows = Bins(size, TaskContext.get().partitionId() << 33), []
+        held: list[pa.RecordBatch] = []
 
-        def placed() -> pa.RecordBatch:
+        def place() -> None:
             names, offsets = bins.place(np.array([r[3] for r in rows], np.int64))
-            columns = [pa.array(x, k) for x, k in zip(zip(*rows), PLACED.types)] or [pa.array([], k) for k in PLACED.types[:5]]
+            held.append(pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(zip(*rows), PLACED.types)), pa.array(names), pa.array(offsets)], schema=PLACED))
             rows.clear()
-            return pa.RecordBatch.from_arrays([*columns, pa.array(names), pa.array(offsets)], schema=PLACED)
-
-        def closed(batch: pa.RecordBatch, opened: np.ndarray) -> pa.RecordBatch:
-            is_open = np.isin(batch.column(5).to_numpy(), opened)
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(is_open), pa.array(np.full(len(is_open), node))], schema=ARROW)
-
-        # Which sequences go up is known at the end alone, so full windows wait in a file of the task's own.
-        with tempfile.TemporaryFile() as file:
-            spill = None
-            for b in batches:
-                ids, at = b.column(0).to_pylist(), 0
-                for group in in_groups(b.column(1).cast(pa.binary()).to_pylist()):
-                    for doc_id, data in zip(ids[at : at + len(group)], e.encode(group)):
-                        data += end
-                        rows += [(doc_id, k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(data) // 4, size))]
-                    at += len(group)
-                    if len(rows) >= WINDOW:
-                        spill = spill or pa.ipc.new_stream(file, PLACED)
-                        spill.write_batch(placed())
-            last = placed()
+
+        def leaf() -> Iterator[pa.RecordBatch]:
+            """The pieces held, with the sequences that go up; later pieces open others."""
+            nonlocal bins, node
+            if rows:
+                place()
             opened = bins.emptiest(PASSED, slack)
-            if spill:
-                spill.close()
-                file.seek(0)
-                for batch in pa.ipc.open_stream(file):
-                    yield closed(batch, opened)
-            if last.num_rows:
-                yield closed(last, opened)
+            for batch in held:
+                is_open = np.isin(batch.column(5).to_numpy(), opened)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(is_open), pa.array(np.full(len(is_open), node))], schema=ARROW)
+            held.clear()
+            bins, node = Bins(size, bins.next), node + 1
+
+        for b in batches:
+            ids, at = b.column(0).to_pylist(), 0
+            for group in in_groups(b.column(1).cast(pa.binary()).to_pylist()):
+                for doc_id, data in zip(ids[at : at + len(group)], e.encode(group)):
+                    data += end
+                    rows += [(doc_id, k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(data) // 4, size))]
+                at += len(group)
+                if len(rows) >= WINDOW:
+                    place()
+                    if sum(x.num_rows for x in held) >= SEGMENT:
+                        yield from leaf()
+        yield from leaf()
 
     return documents_of(documents).mapInArrow(run, ROWS)
 
@@ -187,7 +186,10 @@ def merge_round(residue: DataFrame, size: int, slack: int, last: bool) -> DataFr
 def pack(documents: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, slack: int = 4) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     level = written(pack_partitions(documents, tokenizer, end_id, size, slack), "pack-0")
-    nodes = (level.agg(F.max("node")).first()[0] or 0) + 1
+    # Leaves are numbered without the gaps that partitions of fewer segments than others leave.
+    last, segments = level.agg(F.max(F.expr(f"node div {SEGMENTS}")), F.max(F.col("node") % SEGMENTS) + 1).first()
+    level = level.withColumn("node", F.expr(f"(node div {SEGMENTS}) * {segments or 1} + node % {SEGMENTS}"))
+    nodes = ((last or 0) + 1) * (segments or 1)
     done, round_ = [], 0
     while nodes > 1:
         done.append(level.where("not open"))
