@@ -1,17 +1,17 @@
 """Exact top-k inner products from an impact-ordered index, score at a time.
 
 Components are quantised to floor(64 * x). A shard of at most ``SHARD_ROWS`` rows keeps one posting list a
-component, its rows in order of their quantised values, so that the postings of one impact are one segment.
-For a query a component's impact is the product of both values, and both ends of each list come first. Segments
-are processed from all lists by descending impact, halved from level to level, each added to the accumulators
-of its rows. After a level every row's score lies within what the lists still hold: at most the sum of their
-greatest remaining gains above its accumulator, at most the sum of their greatest remaining losses below. Rows
-whose upper bound is under the k-th best lower bound are proven to be no members; the walk stops once
-the possible members are few enough that scoring them exactly costs less than the next level, and those are
-scored exactly, from the stored values. Nothing is stopped without that proof, so that results are exact.
-
-Shards and groups of queries meet once each, in cells of bounded size: queries travel in packs, an index row is
-sent once to every group of queries. Each cell returns ``k`` rows a query.
+component, its rows in order of their quantised values, so that the postings of one impact are one segment and the
+greatest impacts, of either sign, are at the ends. For ``TOGETHER`` queries at a time, segments of all lists are processed by
+descending impact, level by level, each added to the accumulators of its rows, one for every query. After a level a row's
+score lies within what the lists still hold: at most the sum of their greatest remaining gains above its accumulator, at
+most the sum of their greatest remaining losses below. Rows whose upper bound is under the k-th best lower bound, or under
+the k-th best score of the shards before, are proven to be no members; the walk stops once so few possible members are
+left that scoring them exactly costs less than the postings to come, and those are scored exactly, from the stored
+values. Nothing is stopped without that proof, so that results are exact.
+
+Spans of shards and groups of queries meet once each, in cells of bounded size: a shard is sent once to every group of queries,
+and a cell walks its shards one after the other. Each cell returns ``k`` rows a query.
 
 Defined cases: vectors that are null, empty, of another length than the most common one (ties: the shorter), or
 hold null or non-finite components, or ones of which scores could pass 64 bits, take no part, nor do rows with a
@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from .common import discard, written
 
 SCALE = 64
-SHARD_ROWS, GROUP_QUERIES, PACK = 1 << 16, 1 << 14, 256
-LEAST_SHARD, LEAST_GROUP, CELLS = 4096, 256, 64
+SHARD_ROWS, GROUP_QUERIES, TOGETHER, SPAN = 1 << 16, 1 << 12, 128, 8
+LEAST_SHARD, CELLS = 4096, 64
+NONE = -(1 << 62)  # below every score
 
 
 def quantised(embeddings: DataFrame) -> tuple[DataFrame, int]:
@@ -72,41 +73,55 @@ class Shard:
         bound = np.clip(bound - self.low, 0, self.span - 1)
         return np.searchsorted(self.flat, bound + self.span * steps) - self.n * steps
 
-    def best(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Identifiers and scores of the k best rows but those of identifier ``own``."""
-        others = np.flatnonzero(self.ids != own)
-        if len(others) <= k:
-            return self.exact(q, others, k)
-        weight, lists = np.abs(q), np.arange(self.size)
-        active = np.flatnonzero(weight)
+    def best(self, q: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, identifier, score) of the k best rows of each query (a row of ``q``) but those of its own identifier, of scores of at least ``floor``."""
+        count = len(q)
+        most = int(np.abs(self.values).max()) * int(np.abs(q).max()) * self.size
+        kind = np.int32 if most < 1 << 30 else np.int64
+        weights = np.ascontiguousarray(q.T.astype(kind))  # a list's factors for all queries
+        values = self.values.astype(kind)
+        lists = np.arange(self.size)
         lo, hi = np.zeros(self.size, np.int64), np.full(self.size, self.n)
-        acc = np.zeros(self.n, np.int64)
-        level = int((weight * np.maximum(np.abs(self.values[:, 0]), np.abs(self.values[:, -1]))).max())
-        enough = max(4 * k, self.n // 16)
+        acc = np.zeros((self.n, count), kind)
+        mine = [np.flatnonzero(self.ids == i) for i in own.tolist()]
+        level = int(max(abs(int(self.values.min())), abs(int(self.values.max()))))
         while True:
-            level >>= 1
-            least = np.maximum(1, -(-level // np.maximum(weight, 1)))  # values from it on are of this level or above
+            level = level * 2 // 3
+            least = np.full(self.size, max(level, 1))  # values from it on, of either sign, are of this level or above
             new_lo, new_hi = np.maximum(lo, self.place(1 - least)), np.minimum(hi, self.place(least))
-            for d in active:
+            for d in lists:
                 for a, b in ((lo[d], new_lo[d]), (new_hi[d], hi[d])):
                     if a < b:
-                        acc[self.rows[d, a:b]] += q[d] * self.values[d, a:b]
+                        acc[self.rows[d, a:b]] += values[d, a:b, None] * weights[d]
             lo, hi = new_lo, new_hi
-            # What the lists hold between lo and hi: by how much a score can still rise or fall.
+            # What the lists hold between lo and hi: by how much each query's scores can still rise or fall.
             some = lo < hi
-            top = np.where(some, np.maximum(self.values[lists, np.maximum(hi - 1, 0)], 0), 0) * weight
-            low = np.where(some, np.maximum(-self.values[lists, np.minimum(lo, self.n - 1)], 0), 0) * weight
-            slack = int(top.sum() + low.sum())
-            now = acc[others]
-            bound = int(np.partition(now, len(now) - k)[len(now) - k]) - slack
-            possible = others[now >= bound]
-            if len(possible) <= enough or level == 0 or slack == 0:
-                return self.exact(q, possible, k)
-
-    def exact(self, q: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        score, ids = self.units[rows] @ q, self.ids[rows]
-        first = np.lexsort((ids, -score))[:k]
-        return ids[first], score[first]
+            ends = [np.where(some, self.values[lists, at], 0) * q for at in (np.maximum(hi - 1, 0), np.minimum(lo, self.n - 1))]
+            rise, fall = (np.maximum(np.maximum(sign * ends[0], sign * ends[1]), 0).sum(1) for sign in (1, -1))
+            left = float((hi - lo).sum()) / (self.n * self.size) if (rise + fall).any() else 0.0
+            if left > 0.5 and level > 1:
+                continue  # most postings are still to come
+            for j, rows in enumerate(mine):
+                acc[rows, j] = np.iinfo(kind).min >> 1
+            bound = floor - rise
+            if (floor == NONE).any() and self.n > k:
+                here = np.partition(acc, self.n - k, axis=0)[self.n - k] - fall - rise
+                bound = np.maximum(bound, here)
+            possible = acc >= np.maximum(bound, np.iinfo(kind).min >> 2).astype(kind)
+            if left and np.count_nonzero(possible) > left / 2 * possible.size:
+                for j, rows in enumerate(mine):
+                    acc[rows, j] = 0  # never looked at again without the mark above
+                continue
+            place, row = np.nonzero(possible.T)
+            score = np.zeros(len(row), np.int64)
+            for i in range(0, len(row), 1 << 15):
+                score[i : i + (1 << 15)] = np.einsum("ij,ij->i", self.units[row[i : i + (1 << 15)]], q[place[i : i + (1 << 15)]])
+            keep = np.flatnonzero(score >= floor[place])
+            place, score, ids = place[keep], score[keep], self.ids[row[keep]]
+            order = np.lexsort((ids, -score, place))
+            place, score, ids = place[order], score[order], ids[order]
+            first = np.arange(len(place)) - np.searchsorted(place, place) < k
+            return place[first], ids[first], score[first]
 
 
 def narrowed(values: np.ndarray) -> np.ndarray:
@@ -159,22 +174,6 @@ def edges(of: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(at[:-1].tolist(), at[1:].tolist())
 
 
-def packs(queries: DataFrame, size: int, groups: int, tasks: int) -> DataFrame:
-    """g, ids, values: the queries of each group, ``PACK`` to a row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            g = b.column(0).to_numpy()
-            for i, j in edges(g):
-                for k in range(i, j, PACK):
-                    part = slice(k, min(j, k + PACK))
-                    n = part.stop - k
-                    yield pa.RecordBatch.from_arrays([pa.array([int(g[k])]), pa.array([b.column(1).slice(k, n).to_numpy().tobytes()], pa.binary()), pa.array([matrix(b.column(2).slice(k, n), size).tobytes()], pa.binary())], ["g", "ids", "values"])
-
-    dealt = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("g"), "vec_id", "units").repartition(tasks, "g").sortWithinPartitions("g")
-    return dealt.mapInArrow(run, "g long, ids binary, values binary")
-
-
 def top_products(embeddings: DataFrame, every: int = 20, k: int = 20, shard_rows: int = SHARD_ROWS, group_queries: int = GROUP_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose identifier is divisible by ``every``."""
     spark = embeddings.sparkSession
@@ -182,35 +181,49 @@ def top_products(embeddings: DataFrame, every: int = 20, k: int = 20, shard_rows
     if not size:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     asked = written(units.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("units").alias("units")), "impact-queries")
-    n = asked.count()
-    # On small tables, cells enough for all cores; on large ones, of full size.
-    index, shards = write_index(units, size, max(1, min(shard_rows, max(LEAST_SHARD, units.count() // CELLS))))
-    groups = max(1, -(-n // min(group_queries, max(LEAST_GROUP, n * shards // CELLS))))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(shards * groups, CELLS))
-    left = index.withColumn("g", F.explode(F.expr(f"sequence(0L, {groups - 1}L)"))).select("shard", "g", "ids", "rows", "width", "values")
-    every_shard = F.explode(F.expr(f"sequence(0L, {shards - 1}L)"))
-    right = packs(asked, size, groups, min(tasks, groups)).select(every_shard.alias("shard"), "g", "ids", F.lit(None).cast("binary").alias("rows"), F.lit(None).cast("int").alias("width"), "values")
+    n, total = asked.count(), units.count()
+    # On small tables, shards and groups enough for all cores; on large ones, of full size.
+    index, shards = write_index(units, size, max(1, min(shard_rows, max(LEAST_SHARD, total // CELLS))))
+    groups = max(1, -(-n // max(1, min(group_queries, max(TOGETHER, n // 8)))))
+    spans = -(-shards // SPAN)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(spans * groups, CELLS))
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(x) for x in names]
+    left = index.select(F.expr(f"shard div {SPAN}").alias("span"), F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("g"), "shard", *none("long", "query_id"), *none("array<long>", "units"), "ids", "rows", "width", "values")
+    right = asked.select(F.explode(F.expr(f"sequence(0L, {spans - 1}L)")).alias("span"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("g"), *none("long", "shard"), F.col("vec_id").alias("query_id"), "units", *none("binary", "ids", "rows"), *none("int", "width"), *none("binary", "values"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, here = None, []
+        cell, own, q = None, [], []
+        best: dict[int, list[tuple[int, int]]] = {}
+
+        def found() -> Iterator[pa.RecordBatch]:
+            rows = [(i, v, -s) for i, list_ in best.items() for s, v in list_]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["query_id", "vec_id", "score"])
+
         for b in batches:
             for i in range(b.num_rows):
-                shard, g, ids, rows, width, values = (c[i].as_py() for c in b.columns)
-                ids = np.frombuffer(ids, np.int64)
-                if cell != (shard, g):
-                    cell, here = (shard, g), []
-                if rows is not None:
-                    here.append(Shard(ids, np.frombuffer(rows, "<u2").reshape(size, -1), np.frombuffer(values, f"<i{width}").reshape(size, -1)))
+                here = (b.column(0)[i].as_py(), b.column(1)[i].as_py())
+                if here != cell:
+                    yield from found()
+                    cell, own, q, best = here, [], [], {}
+                if (query := b.column(3)[i].as_py()) is not None:
+                    own.append(query)
+                    q.append(b.column(4)[i].values.to_numpy())
                     continue
-                queries = np.frombuffer(values, np.int64).reshape(len(ids), size)
-                for s in here:
-                    found = [s.best(q, own, k) for own, q in zip(ids.tolist(), queries)]
-                    count = [len(x) for x, _ in found]
-                    if sum(count):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, count)), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([y for _, y in found]))], ["query_id", "vec_id", "score"])
-
-    # A cell's index rows come before its queries.
-    cells = left.unionByName(right).repartition(tasks, "shard", "g").sortWithinPartitions("shard", "g", F.asc_nulls_last("width"))
-    found = cells.mapInArrow(walk, "query_id long, vec_id long, score long")
+                ids, rows, width, values = (b.column(c)[i].as_py() for c in (5, 6, 7, 8))
+                shard = Shard(np.frombuffer(ids, np.int64), np.frombuffer(rows, "<u2").reshape(size, -1), np.frombuffer(values, f"<i{width}").reshape(size, -1))
+                for j in range(0, len(own), TOGETHER):
+                    some = own[j : j + TOGETHER]
+                    floor = np.array([-best[x][-1][0] if len(best.get(x, ())) == k else NONE for x in some], np.int64)
+                    for place, vec_id, score in zip(*(x.tolist() for x in shard.best(np.stack(q[j : j + TOGETHER]), np.array(some), k, floor))):
+                        best.setdefault(some[place], []).append((-score, vec_id))
+                    for x in some:
+                        if x in best:
+                            best[x] = sorted(best[x])[:k]
+        yield from found()
+
+    # A cell's queries come before its shards.
+    cells = left.unionByName(right).repartition(tasks, "span", "g").sortWithinPartitions("span", "g", F.asc_nulls_first("shard"))
+    hits = cells.mapInArrow(walk, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -128,10 +128,12 @@ def test_shard_walks():
         order = np.argsort(units.T, 1, kind="stable")
         shard = impact.Shard(np.arange(n) * 3, order.astype("<u2"), np.take_along_axis(units.T, order, 1))
         assert (shard.units == units).all()
-        for i in range(0, n, 37):
-            ids, scores = shard.best(units[i], i * 3, 20)
-            want = sorted((-int(s), j * 3) for j, s in enumerate(units @ units[i]) if j != i)[:20]
-            assert [(-s, j) for j, s in zip(ids.tolist(), scores.tolist())] == want
+        some = np.arange(0, n, 37)
+        for floor in (impact.NONE, 0, 2 * scale * scale):
+            place, ids, scores = shard.best(units[some], some * 3, 20, np.full(len(some), floor))
+            for p, i in enumerate(some.tolist()):
+                want = sorted((-int(s), j * 3) for j, s in enumerate(units @ units[i]) if j != i and s >= floor)[:20]
+                assert [(-s, j) for s, j in zip(scores[place == p].tolist(), ids[place == p].tolist())] == want
         bound = rng.integers(-scale - 5, scale + 5, 9)
         assert shard.place(bound).tolist() == [int((units[:, d] < b).sum()) for d, b in enumerate(bound)]
         shard.wide = True
