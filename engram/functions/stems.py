@@ -38,7 +38,7 @@ def _replaced(word: str, table: dict[str, str], least: int) -> str:
     return word
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=1 << 19)
 def stem(word: str) -> str:
     """The stem of a lower-case word of ASCII letters; other words and those of two letters or fewer are their own."""
     if len(word) <= 2 or not (word.isascii() and word.isalpha()):

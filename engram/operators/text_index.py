@@ -27,7 +27,8 @@ import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,25 +88,37 @@ def parsed(question: str) -> Question:
 
 def postings_of(texts: DataFrame, key: str, content: str) -> DataFrame:
     """term, id, positions, size: whole texts, in Arrow batches."""
-    kind = dict(texts.dtypes)[key]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in parts:
-            out: list[tuple] = []
-            for i, text in zip(rows[key], rows[content]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            term: list[str] = []
+            row, count, flat, size = [], [], [], []
+
+            def out() -> pa.RecordBatch:
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.array(count, np.int64))]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()))
+                made = pa.RecordBatch.from_arrays([pa.array(term, pa.string()), b.column(0).take(pa.array(row, pa.int64())), lists, pa.array(size, pa.int64())], ["term", key, "positions", "size"])
+                for x in (term, row, count, flat, size):
+                    x.clear()
+                return made
+
+            for i, text in enumerate(b.column(1).to_pylist()):
                 places: dict[str, list[int]] = {}
                 words = WORD.findall((text or "").lower())
                 for at, w in enumerate(words, 1):
                     if w not in STOP_WORDS:
                         places.setdefault(stem(w), []).append(at)
-                out += [(t, i, p, len(words)) for t, p in places.items()]
-                if len(out) > 50_000:
-                    yield pd.DataFrame(out, columns=["term", key, "positions", "size"])
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=["term", key, "positions", "size"])
-
-    return texts.select(key, content).mapInPandas(run, f"term string, `{key}` {kind}, positions array<int>, size long")
+                for t, p in places.items():
+                    term.append(t)
+                    count.append(len(p))
+                    flat += p
+                row += [i] * len(places)
+                size += [len(words)] * len(places)
+                if len(flat) > 500_000:
+                    yield out()
+            if term:
+                yield out()
+
+    return texts.select(key, content).mapInArrow(run, f"term string, `{key}` {dict(texts.dtypes)[key]}, positions array<int>, size long")
 
 
 def nearness(a: Column, b: Column) -> Column:
