@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+from .similarity_join import similar_pairs
 from .stats import ago
 
-BLOCK = 4096
-
 
 def entity_memories_of(memories: DataFrame, links: DataFrame, entity: int) -> DataFrame:
     mine = links.where(F.col("entity_id") == entity)
@@ -29,34 +27,6 @@ def connections_of(entities: DataFrame, relations: DataFrame, entity: int) -> Da
     return other.join(entities.select(F.col("id").alias("other_id"), F.col("name").alias("other_name")), "other_id", "left").select("id", "direction", "relationship_type", "other_id", "other_name", "confidence")
 
 
-def similar_pairs(vectors: DataFrame, least: float, most: float = 2.0, block: int = BLOCK, total: int | None = None) -> DataFrame:
-    """(a, b, similarity), a < b, of all pairs with a cosine over ``least`` and under ``most``.
-
-    Exact: rows are dealt into blocks by hash of the identifier, and each pair of blocks is one matrix
-    product in a task of bounded size; only pairs in the range leave it. Zero and null vectors have none."""
-    rows = vectors.where("embedding is not null").select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    n = max(1, -(-(rows.count() if total is None else total) // block))
-    # Every row meets every block once: as the left side of one block pair, the right side of another.
-    placed = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    cells = placed.select(F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), F.col("g"), "id", "v")
-
-    def product(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        x = np.array(rows["v"].tolist(), np.float64)
-        size = np.sqrt((x * x).sum(1))
-        ids, g = rows["id"].to_numpy(), rows["g"].to_numpy()
-        fine = size > 0
-        x, ids, g = x[fine] / size[fine, None], ids[fine], g[fine]
-        left, right = np.flatnonzero(g == i), np.flatnonzero(g == j)
-        s = x[left] @ x[right].T
-        at, to = np.nonzero((s > least) & (s < most))
-        a, b = ids[left[at]], ids[right[to]]
-        keep = a < b if i == j else np.ones(len(a), bool)
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": s[at, to][keep]})
-
-    return cells.groupBy("i", "j").applyInPandas(product, "a long, b long, similarity double")
-
-
 def contradiction_pairs(memories: DataFrame, least: float, most: float) -> DataFrame:
     """Pairs in a band of similarity, neither archived, that differ in machine or kind or are over a week apart."""
     m = memories.where("category <> '_archived'")
@@ -75,13 +45,25 @@ def same_name_pairs(entities: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.canonical_name").alias("name"), (F.col("a.mention_count") + F.col("b.mention_count")).cast("long").alias("mentions"))
 
 
-def cooccurrences(links: DataFrame, least: int) -> DataFrame:
-    """Entity pairs in at least ``least`` memories, with the first three."""
+def cooccurrences(links: DataFrame, least: int, sample: int = 3, block: int = 512) -> DataFrame:
+    """Entity pairs in at least ``least`` memories, with the first ``sample`` of these.
+
+    A memory's entities are dealt into blocks, and each pair of blocks is a key of the join, so that a memory of very many
+    entities is no single task. Only each task's first memories of a pair are carried: ``sample`` least values, merged."""
     l = links.select("memory_id", "entity_id").distinct()  # noqa: E741
-    a, b = l.alias("a"), l.alias("b")
-    pairs = a.join(b, (F.col("a.memory_id") == F.col("b.memory_id")) & (F.col("a.entity_id") < F.col("b.entity_id")))
-    counted = pairs.groupBy(F.col("a.entity_id").alias("e1"), F.col("b.entity_id").alias("e2")).agg(F.count("*").alias("shared"), F.slice(F.array_sort(F.collect_set("a.memory_id")), 1, 3).alias("sample"))
-    return counted.where(F.col("shared") >= least)
+    sizes = cut(l.groupBy("memory_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"), "cooccurring")  # written, so that a crowded memory can be split in the join
+    placed = l.join(sizes, "memory_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("g", F.pmod(F.xxhash64("entity_id"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).select("memory_id", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "g", "entity_id")
+    a, b = dealt.where("g = i").alias("a"), dealt.where("g = j").alias("b")
+    same = (F.col("a.memory_id") == F.col("b.memory_id")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    # Blocks of one number are met from one side, others from both, each pair of entities once.
+    once = F.when(F.col("a.i") == F.col("a.j"), F.col("a.entity_id") < F.col("b.entity_id")).otherwise(F.col("a.entity_id") != F.col("b.entity_id"))
+    pairs = a.join(b, same).where(once).select(F.least("a.entity_id", "b.entity_id").alias("e1"), F.greatest("a.entity_id", "b.entity_id").alias("e2"), F.col("a.memory_id").alias("memory_id"))
+    counted = cut(pairs.groupBy("e1", "e2").agg(F.count("*").alias("shared")).where(F.col("shared") >= least), "cooccurring")
+    first = pairs.join(counted.select("e1", "e2"), ["e1", "e2"], "left_semi")
+    ranked_ = first.withColumn("rank", F.row_number().over(Window.partitionBy("e1", "e2").orderBy("memory_id"))).where(F.col("rank") <= sample)
+    samples = ranked_.groupBy("e1", "e2").agg(F.array_sort(F.collect_list("memory_id")).alias("sample"))  # ``sample`` a pair
+    return counted.join(samples, ["e1", "e2"])
 
 
 def unlinked(pairs: DataFrame, relations: DataFrame) -> DataFrame:

@@ -168,6 +168,16 @@ def similar_pairs(t):
     return joins.similar_pairs(v, 0.35).select("a", "b", F.round("similarity", 4).alias("similarity"))
 
 
+@query("""WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+ WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.25 AND (a.vec_id, b.vec_id) NOT IN (SELECT (least(x, y), greatest(x, y)) FROM (SELECT (user_id * 31) % n AS x, event_id % n AS y FROM events, n))""")
+def unchecked_pairs(t):
+    """Similar pairs that no event has marked as checked, whichever way round the marker names them."""
+    v = t.raw("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    n = v.agg(F.count("*").alias("n"))
+    marks = t.raw("events").join(F.broadcast(n), F.col("n") > 0).selectExpr("(user_id * 31) % n as a", "event_id % n as b")  # n is one row
+    return joins.similar_pairs(v, 0.25, checked=marks).select("a", "b", F.round("similarity", 4).alias("similarity"))
+
+
 @query("""SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS similarity FROM memories a JOIN memories b ON a.id < b.id
  WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND a.category <> '_archived' AND b.category <> '_archived' AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) BETWEEN 0.30 AND 0.45
  AND (a.source_machine IS DISTINCT FROM b.source_machine OR a.source_type <> b.source_type OR a.created_at < b.created_at - INTERVAL 7 DAY)""")
