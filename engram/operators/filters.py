@@ -112,3 +112,21 @@ def shaped(df: DataFrame) -> DataFrame:
 def unseen(new: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose keys are not known. A null key equals nothing, so such rows are always new."""
     return new.join(known.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def undistilled(conversations: DataFrame, sources: Sequence[str], done: DataFrame, messages: int = 3, chars: int = 200) -> DataFrame:
+    """(conv_id, messages) of conversations of some sources, of enough messages and text, that no marker of ``done`` (conv_id) names."""
+    mine = conversations.where(F.col("source_type").isin(list(sources))).join(done.select("conv_id").distinct(), "conv_id", "left_anti")
+    return mine.groupBy("conv_id").agg(F.count("*").alias("messages"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).where((F.col("messages") >= messages) & (F.col("chars") >= chars)).drop("chars")
+
+
+def waiting(queue: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` queue rows that are not crawled yet, first in first out."""
+    return queue.where("crawled_at is null").orderBy("queued_at", "id").limit(k)
+
+
+def tier_set(memories: DataFrame, tiers: DataFrame) -> DataFrame:
+    """Memories with the tiers (id, tier) asked for; tiers but 0 to 3 raise an error when a row of the table is named with one."""
+    asked = tiers.groupBy("id").agg(F.max("tier").alias("__tier"))
+    checked = F.when(F.col("__tier").isNull() | F.col("__tier").between(0, 3), F.coalesce("__tier", "tier")).otherwise(F.raise_error(F.lit("a tier is 0, 1, 2 or 3")).cast("long"))
+    return memories.join(asked, "id", "left").withColumn("tier", checked).drop("__tier")

@@ -28,6 +28,27 @@ def neighbourhood(relations: DataFrame, start: DataFrame, depth: int) -> DataFra
     return found.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
+def bounded_neighbourhoods(relations: DataFrame, starts: DataFrame, depth: int, most: int = 50) -> DataFrame:
+    """(start, id, depth): for every (start, id) of ``starts`` the nodes around its ids, over valid edges either way, ``most`` of a start besides those at depth 0.
+
+    All starts go on at once, a round a depth; in each, a start takes its new nodes by identifier until it is full. Of a node's neighbours only the
+    first 2 most + s can ever be taken, s the start's own ids, since a start has seen most + s nodes at most: the rest of a hub's edges is left out before any join."""
+    own = starts.select("start", "id").distinct()
+    largest = own.groupBy("start").count().agg(F.max("count")).first()[0] or 0
+    order = Window.partitionBy("u").orderBy("v")
+    near = symmetric(relations).select("u", "v").where("u <> v").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2 * most + largest).drop("n")
+    near = cut(near, "neighbours")
+    seen = own.withColumn("depth", F.lit(0))
+    frontier = own
+    for d in range(1, depth + 1):
+        room = seen.groupBy("start").agg((most - F.count_if(F.col("depth") > 0)).alias("room"))
+        step = frontier.join(near, frontier["id"] == near["u"]).select("start", F.col("v").alias("id")).distinct().join(seen.select("start", "id"), ["start", "id"], "left_anti")
+        ranked = step.withColumn("n", F.row_number().over(Window.partitionBy("start").orderBy("id"))).where(F.col("n") <= most)
+        frontier = cut(ranked.join(room, "start").where("n <= room").select("start", "id"), "frontier")
+        seen = seen.unionByName(frontier.withColumn("depth", F.lit(d)))
+    return seen
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over (a, b) edges. Least labels spread and pointers jump, round by round."""
     e = edges.where("a <> b").distinct()

@@ -91,8 +91,9 @@ def underdescribed(entities: DataFrame, links: DataFrame) -> DataFrame:
     return few.join(links.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("n"), F.max("memory_id").alias("last_memory")), "id").select("id", "name", "n", "last_memory")
 
 
-def cross_machine(entities: DataFrame, links: DataFrame, memories: DataFrame, least: int = 2) -> DataFrame:
-    """Entities seen from several machines."""
+def cross_machine(entities: DataFrame, links: DataFrame, memories: DataFrame, least: int = 2, cooling: DataFrame | None = None) -> DataFrame:
+    """Entities seen from several machines, but for those of ``cooling`` (id)."""
+    links = links if cooling is None else links.join(cooling.select(F.col("id").alias("entity_id")).distinct(), "entity_id", "left_anti")
     joined = links.join(memories.select(F.col("id").alias("memory_id"), "source_machine"), "memory_id")
     grouped = joined.groupBy(F.col("entity_id").alias("id")).agg(F.countDistinct("source_machine").alias("machines"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("source_machine")), ",").alias("names"))
     return grouped.where(F.col("machines") >= least).join(entities.select("id", "name"), "id")

@@ -178,6 +178,25 @@ def graph_search(memories: DataFrame, entity_vectors: DataFrame, links: DataFram
     return memories.where("tier < 3").join(hits, "id", "left_semi").orderBy(F.desc("importance"), "id").limit(k)
 
 
+def relevant_communities(communities: DataFrame, judge, least: float = 0.3, k: int = 10) -> DataFrame:
+    """The ``k`` communities that a judge finds most relevant, of those with a summary. The judge adds answer (relevant, score, key_points), null where it failed."""
+    said = judge(communities.where("summary is not null and summary <> ''")).where(F.col("answer.relevant") & (F.col("answer.score") >= least))
+    return said.select("community", "title", "summary", "topics", "names", "size", F.col("answer.score").alias("score"), F.col("answer.key_points").alias("key_points")).orderBy(F.desc("score"), "community").limit(k)
+
+
+def global_answer(question: str, relevant: DataFrame, synthesise) -> DataFrame:
+    """(answer, context) over the relevant communities, best first: each with its score, size, summary, topics, five names and key points. ``synthesise`` adds answer to (prompt, context)."""
+    listed = lambda c: F.coalesce(F.array_join(c, ", "), F.lit(""))
+    part = F.concat(
+        F.format_string("**%s** (relevance: %.1f, %d entities)\n", F.coalesce("title", F.lit("")), F.col("score").cast("double"), F.col("size").cast("long")), F.format_string("  Summary: %s\n", "summary"), F.format_string("  Topics: %s\n", listed(F.col("topics"))),
+        F.format_string("  Key entities: %s\n", listed(F.slice("names", 1, 5))), F.array_join(F.transform(F.coalesce("key_points", F.array().cast("array<string>")), lambda p: F.concat(F.lit("  - "), p)), "\n"),
+    )
+    rows = relevant.select(F.col("score"), F.col("community"), part.alias("part"))  # ten at most
+    context = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "community", "part"))), lambda x: x["part"]), "\n\n").alias("context"), F.count("*").alias("n")).where("n > 0")
+    prompt = F.concat(F.lit(f"Question: {question}\n\nRelevant knowledge graph communities:\n\n"), "context", F.lit("\n\nSynthesize a comprehensive answer based on the communities above."))
+    return synthesise(context.select(prompt.alias("prompt"), "context"))
+
+
 def link_score(url: Column, trusted: Sequence[str], seeds: Sequence[str]) -> Column:
     """.4 for a trusted domain (else nothing at all), .3 for a documentation path, .2 or .1 for depth, .1 for a seed domain."""
     host, path = F.coalesce(F.lower(F.parse_url(url, F.lit("HOST"))), F.lit("")), F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit(""))

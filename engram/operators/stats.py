@@ -56,9 +56,10 @@ def last_seen(events: DataFrame, key: str) -> DataFrame:
     return events.groupBy(key).agg(F.max("created_at").alias("last"))
 
 
-def domain_saturation(outcomes: DataFrame, last: int = 20, least: int = 3, novelty: float = 0.2) -> DataFrame:
-    """By domain: its latest outcomes, and whether too few of them were new."""
+def domain_saturation(outcomes: DataFrame, last: int = 20, least: int = 3, novelty: float = 0.2, as_of: str | None = None, days: int = 7) -> DataFrame:
+    """By domain: its latest outcomes, of the last ``days`` before ``as_of`` where given, and whether too few of them were new."""
     w = Window.partitionBy("domain").orderBy(F.desc("created_at"), F.desc("id"))
+    outcomes = outcomes if as_of is None else outcomes.where(F.col("created_at") >= ago(as_of, days))
     latest = outcomes.where("domain is not null").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= last)
     return latest.groupBy("domain").agg(F.count("*").alias("n"), F.avg(F.col("novel").cast("double")).alias("novelty")).withColumn("saturated", (F.col("n") >= least) & (F.col("novelty") < novelty))
 

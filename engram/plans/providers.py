@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Complete = Callable[[Sequence[str]], Sequence[str]]
@@ -103,6 +103,52 @@ def write_decision(candidates: DataFrame, same: float = 0.98, near: float = 0.92
     return best.select("new_id", F.when(F.col("b.similarity") >= same, "NOOP").when(F.col("b.similarity") >= near, "UPDATE").otherwise("ADD").alias("action"), F.col("b.old_id").alias("target_id"))
 
 
+def write_candidates(pairs: DataFrame, least: float = 0.85, most: int = 5) -> DataFrame:
+    """(new_id, old_id, similarity, place) of each new row's ``most`` most similar stored ones of ``least`` or more."""
+    order = Window.partitionBy("new_id").orderBy(F.desc("similarity"), "old_id")
+    return pairs.where(F.col("similarity") >= least).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def decided(new: DataFrame, candidates: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, action, target_id, content) of every new row (id, content).
+
+    Without candidates a row is added, unasked. The judge sees the others with their candidates, best first, and adds ``answer`` (action, target_id,
+    content), null where it failed: then the row is added too. Actions are read in any case of letters; unknown ones add. A target that is no candidate gives way to the
+    most similar one, and an update or replacement without content takes the new row's own."""
+    seen = candidates.groupBy(F.col("new_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("place", "old_id", "similarity"))).alias("candidates"))  # five a row
+    asked = judge(new.select("id", "content").join(seen, "id"))
+    said = new.select("id", "content").join(asked.select("id", "candidates", "answer"), "id", "left")
+    action = F.upper(F.coalesce("answer.action", F.lit("ADD")))
+    action = F.when(action.isin(*DECISIONS), action).otherwise("ADD")
+    changes = action.isin("UPDATE", "SUPERSEDE")
+    ids = F.transform("candidates", lambda c: c["old_id"])
+    target = F.when(F.array_contains(ids, F.col("answer.target_id")), F.col("answer.target_id")).otherwise(F.element_at(ids, 1))
+    content = F.when(F.length(F.trim(F.coalesce("answer.content", F.lit("")))) > 0, F.col("answer.content")).otherwise(F.col("content"))
+    return said.select("id", action.alias("action"), F.when(changes, target).alias("target_id"), F.when(changes, content).otherwise(F.col("content")).alias("content"))
+
+
+def written_back(stored: DataFrame, new: DataFrame, decisions: DataFrame, embed: Embed | None = None) -> dict[str, DataFrame]:
+    """The write path's tables: ``inserted`` (ADD and SUPERSEDE, the latter with supersedes), ``stored`` after updates and archivings, ``skipped``.
+
+    An update takes the decision's content, with a new vector where there is an ``embed``, and the new row's tags and category where it has some;
+    of several new rows that name one target the last, by identifier, counts. A superseded row is archived, its reason in its metadata."""
+    j = new.join(decisions.select("id", "action", "target_id", F.col("content").alias("decided")), "id")
+    inserted = j.where("action in ('ADD', 'SUPERSEDE')").select(*new.columns, F.when(F.col("action") == "SUPERSEDE", F.col("target_id")).alias("supersedes"))
+    last = j.where("action in ('UPDATE', 'SUPERSEDE')").groupBy("target_id", "action").agg(F.max_by(F.struct("decided", "tags", "category"), "id").alias("u"))
+    updates = last.where("action = 'UPDATE'").select(F.col("target_id").alias("id"), F.col("u.decided").alias("__content"), F.col("u.tags").alias("__tags"), F.col("u.category").alias("__category"))
+    gone = last.where("action = 'SUPERSEDE'").select(F.col("target_id").alias("id"), F.lit(True).alias("__gone"))
+    both = stored.join(updates, "id", "left").join(gone, "id", "left")
+    changed = both.withColumns({
+        "content": F.coalesce("__content", "content"), "tags": F.coalesce("__tags", "tags"),
+        "category": F.when(F.col("__gone"), F.lit("_archived")).otherwise(F.coalesce("__category", "category")),
+        "archived_reason": F.when(F.col("__gone"), F.lit("superseded")),
+    })
+    if embed is not None:
+        fresh = embedded(changed.where("__content is not null").select("id", "content"), "content", embed, name="__vector").select("id", "__vector")
+        changed = changed.join(fresh, "id", "left").withColumn("embedding", F.coalesce("__vector", F.col("embedding").cast("array<double>"))).drop("__vector")
+    return {"inserted": inserted, "stored": changed.drop("__content", "__tags", "__category", "__gone"), "skipped": j.where("action = 'NOOP'").select("id")}
+
+
 def applied(new: DataFrame, decisions: DataFrame) -> dict[str, DataFrame]:
     """The rows of each branch of the write path; rows without a decision are added."""
     j = new.join(decisions, new["id"] == decisions["new_id"], "left").withColumn("action", F.when(F.col("action").isin(*DECISIONS), F.col("action")).otherwise("ADD"))
