@@ -1,4 +1,4 @@
-"""Fixed tables of category normalisation: canonical names and other names for them (those of the reference, and a few of this engine)."""
+"""Fixed tables of category normalisation: canonical names and other names for them."""
 
 from __future__ import annotations
 
@@ -230,6 +230,4 @@ NAMES = {
     "_archived": "_archived",
 }
 
-#: Further lower-case names, which the reference would leave as they are.
-OTHERS = {"debug": "debugging", "bug": "debugging", "bugfix": "debugging", "design": "architecture", "sql": "data", "server": "backend", "ui": "frontend", "devops": "infrastructure", "docker": "infrastructure", "best-practice": "patterns", "auth": "security", "docs": "documentation", "learning": "insight"}
-LOWER = OTHERS | {k.lower(): v for k, v in NAMES.items()}
+LOWER = {k.lower(): v for k, v in NAMES.items()}

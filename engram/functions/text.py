@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .categories import CANONICAL, LOWER, NAMES
 
-#: The first fifteen are the reference's; (?U) takes white space as Python does.
+#: The patterns of an injection; (?U) takes white space as Python does.
 INJECTION = (
     r"(?iU)ignore\s+(all\s+)?previous\s+(instructions?|prompts?|rules?)",
     r"(?iU)ignore\s+(the\s+)?(above|system|prior)\s+",
@@ -28,17 +28,8 @@ INJECTION = (
     r"(?iU)what\s+(is|are)\s+your\s+(system\s+)?instructions?",
     r"(?iU)repeat\s+(the\s+)?(system\s+)?prompt",
     r"(?iU)print\s+(your\s+)?(system\s+)?prompt",
-    r"(?i)ignore (all |any )?(previous|prior|above) (instructions|prompts?)",
-    r"(?i)disregard (all |any |the )?(previous|prior|above)",
-    r"(?i)forget (everything|all|your) (you|instructions|above)",
-    r"(?i)you are now (a|an|the) ",
-    r"(?i)(reveal|show|print|repeat) (me )?(your|the) (system )?(prompt|instructions)",
-    r"(?i)pretend (to be|you are)",
-    r"(?i)\b(jailbreak|dan mode|developer mode)\b",
-    r"(?i)<\|?(system|im_start|im_end)\|?>",
-    r"(?i)new (system )?instructions?:",
-    r"(?i)act as (if|though|a|an) (?!soon)",
 )
+#: Entity names that say nothing, verbs that begin function names, and patterns of noise.
 GENERIC_NAMES = (
     "main", "fix", "update", "test", "bug", "feature", "release", "merge", "commit", "branch", "tag", "none", "null", "true", "false", "yes", "no",
     "unknown", "default", "master", "develop", "head", "base", "origin", "main street", "project", "agent", "server", "client", "frontend", "backend",
@@ -50,7 +41,7 @@ GENERIC_NAMES = (
     "system", "app",
 )
 VERBS = "get|set|on|handle|update|create|load|init|dispatch|enforce|dispose|is|has|should|can|will|fetch|render|toggle|parse|validate|process|compute|calculate|check|find|show|hide|enable|disable"
-#: Each holds the reference's pattern of the same kind; those that name cases are case-sensitive.
+#: Those that name cases are case-sensitive.
 NOISE = (
     r"^[0-9.,:/\s%-]+$", r"^(feature|fix|agent|bugfix|hotfix|release|develop)/", r"\(\)$", r"(?U)^--?\w", r"(?U)^[\w-]+\.[\w-]+$", r"(?U)^\w+\.(txt|log|tmp|bak|csv|json|xml|yaml|yml|ini|cfg|conf)$",
     r"(?U)^\d+\s*(ppi|dpi|px|pt|em|rem|%)$", r"^[0-9]+ ?x[0-9]+$", rf"^({VERBS})[A-Z][a-zA-Z0-9]*$", r"(?U)^(the |a |an )?\w+\s+(color|mode|size|type|name|value|data|list|set|map|view|state|style|config|option|button)s?$",

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from engram.plans import catalog, catalog_index, catalog_jobs, catalog_more, catalog_paths, catalog_rest  # noqa: F401
+from engram.plans import catalog, catalog_index, catalog_jobs, catalog_more, catalog_paths, catalog_rest, catalog_rules  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
