@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.text import chunked, embedding_input
 from ..plans.providers import Embed, embedded
 
@@ -91,14 +92,69 @@ def community_list(members: DataFrame, entities: DataFrame, k: int, names: int =
 
 
 def merged_communities(members: DataFrame, links: DataFrame, least: int = 15) -> DataFrame:
-    """Small communities join the large one that they have most links with (ties: the lesser); those without stay."""
-    size = members.groupBy("community").agg(F.count("*").alias("size"))
-    sized = members.join(size, "community")
-    ends = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    small, large = sized.where(F.col("size") < least), sized.where(F.col("size") >= least)
-    counts = ends.join(small.select(F.col("node").alias("u"), F.col("community").alias("minor")), "u").join(large.select(F.col("node").alias("v"), F.col("community").alias("major")), "v").groupBy("minor", "major").count()
-    best = counts.groupBy("minor").agg(F.max_by("major", F.struct("count", -F.col("major"))).alias("major"))
-    return members.join(best, F.col("community") == F.col("minor"), "left").select("node", F.coalesce("major", "community").alias("community"))
+    """(node, community): small communities join a large one one after the other, the larger first (ties: the lesser name), then what is left is bundled.
+
+    A small community joins the large one that its nodes have most links with (ties: the lesser), where a large one counts with all that have joined it
+    before. So it waits only for those that it is linked to and that come before it: each round decides all that wait for none, whatever their
+    number. Those without a link to any large one are bundled in the same order, a bundle ending when it has ``least`` nodes. Without large communities all stay.
+    Communities are named by the large one, bundles by their least name."""
+    size = cut(members.groupBy("community").agg(F.count("*").alias("size")), "sizes")
+    if not size.where(F.col("size") >= least).take(1):
+        return members.select("node", "community")
+    ends = links.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.where("a <> b").select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
+    inside = lambda node, name: members.select(F.col("node").alias(node), F.col("community").alias(name))
+    small = size.where(F.col("size") < least).select("community", (-F.col("size")).alias("o"))
+    counted = ends.join(inside("u", "minor"), "u").join(inside("v", "other"), "v").where("minor <> other").groupBy("minor", "other").agg(F.count("*").alias("n"))
+    order = lambda name: small.select(F.col("community").alias(name), F.struct("o", "community").alias(f"{name}_at"))
+    # Of each small community: its links to large ones, and to small ones that come before it.
+    pairs = counted.join(order("minor"), "minor").join(order("other"), "other", "left").where("other_at is null or other_at < minor_at")
+    pairs = cut(pairs.select("minor", "other", "n"), "community-links")
+    placed = cut(size.where(F.col("size") >= least).select("community", F.col("community").alias("root")), "placed")
+    left = cut(small.select("community"), "left")
+    while left.take(1):
+        here = pairs.join(left.select(F.col("community").alias("minor")), "minor", "left_semi")
+        waits = here.join(left.select(F.col("community").alias("other")), "other", "left_semi").select(F.col("minor").alias("community")).distinct()
+        ready = left.join(waits, "community", "left_anti")
+        votes = here.join(placed.where("root is not null").select(F.col("community").alias("other"), "root"), "other").groupBy("minor", "root").agg(F.sum("n").alias("n"))
+        best = votes.groupBy(F.col("minor").alias("community")).agg(F.max_by("root", F.struct("n", (-F.col("root")).alias("r"))).alias("root"))
+        now = cut(ready.join(best, "community", "left"), "placed")
+        left = cut(left.join(now.select("community"), "community", "left_anti"), "left")
+        placed = placed.unionByName(now)
+    placed = cut(placed, "placed")
+    bundles = bundled(size.join(placed.where("root is null").select("community"), "community", "left_semi"), least)
+    named = placed.join(bundles, "community", "left").select("community", F.coalesce("root", "bundle").alias("name"))
+    return members.join(named, "community").select("node", F.col("name").alias("community"))
+
+
+def bundled(orphans: DataFrame, least: int) -> DataFrame:
+    """(community, bundle) of small communities (community, size), taken by falling size, then name, a bundle ending when it has ``least`` nodes or more.
+
+    Sizes are under ``least``, so that where each size's bundles begin follows from how many communities have each size; a community's bundle then follows from its place."""
+    counts = sorted(((r.size_, r.n) for r in orphans.groupBy(F.col("size").alias("size_")).agg(F.count("*").alias("n")).collect()), reverse=True)  # under ``least`` rows
+    rules, filled, bundle, first = [], 0, 0, 0
+    for size, n in counts:
+        rest, whole = -(-(least - filled) // size), -(-least // size)  # how many end the open bundle, and how many make one
+        rules.append((size, first, rest, whole, bundle))
+        if n < rest:
+            filled += n * size
+        else:
+            more, over = divmod(n - rest, whole)
+            bundle, filled = bundle + 1 + more, over * size
+        first += n
+    # Places: a sort by ranges, and each part's first place.
+    ordered = cut(orphans.orderBy(F.desc("size"), "community").withColumn("at", F.monotonically_increasing_id()), "orphans")
+    parts, before = [], 0
+    for r in ordered.groupBy(F.shiftright("at", 33).alias("part")).count().orderBy("part").collect():  # partitions
+        parts.append((r.part, before))
+        before += r["count"]
+    spark = orphans.sparkSession
+    starts = F.broadcast(spark.createDataFrame(parts, "part long, before long"))
+    table = F.broadcast(spark.createDataFrame(rules, "size long, first long, rest long, whole long, base long"))
+    placed = ordered.withColumn("part", F.shiftright("at", 33)).join(starts, "part").withColumn("place", F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).join(table, "size")
+    j = F.col("place") - F.col("first")
+    numbered = placed.select("community", F.when(j < F.col("rest"), F.col("base")).otherwise(F.col("base") + 1 + F.floor((j - F.col("rest")) / F.col("whole"))).alias("number"))
+    named = cut(numbered.groupBy("number").agg(F.min("community").alias("bundle")), "bundles")
+    return numbered.join(named, "number").select("community", "bundle")
 
 
 def ring_layout(nodes: DataFrame, radius: float = 100.0) -> DataFrame:

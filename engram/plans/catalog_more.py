@@ -107,7 +107,7 @@ def community_list(t):
 @query()
 def community_merge(t):
     members = graph.communities(t.entity_relations, least=1).select("node", "community")
-    return ingest.merged_communities(members, graph.weights(t.entity_relations), 5)
+    return ingest.merged_communities(members, graph.weights(t.entity_relations).select("a", "b"), 5)
 
 
 @query()

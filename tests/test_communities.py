@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from engram.operators import graph
+from engram.operators import graph, ingest
 
 SCHEMA = "id long, source_id long, target_id long, relationship_type string, confidence double, valid boolean"
 
@@ -44,3 +44,58 @@ def test_nobody_is_left_over(spark):
     edges = sorted({(a, b) for a, b in itertools.combinations(range(240), 2) if rng.random() < (0.3 if group[a] == group[b] else 0.005)})
     label = found(spark, edges)
     assert len(set(label.values())) == 4 and all(len({label[x] for x in range(240) if group[x] == g}) == 1 for g in range(4))
+
+
+def merged_plainly(groups, edges, least):
+    """One small community after the other."""
+    order = sorted(groups, key=lambda c: (-len(groups[c]), c))
+    majors = [c for c in order if len(groups[c]) >= least]
+    if not majors:
+        return {n: c for c, ns in groups.items() for n in ns}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    where = {n: c for c in majors for n in groups[c]}
+    orphans, out = [], {}
+    for c in order:
+        if c in majors:
+            continue
+        count = {}
+        for n in groups[c]:
+            for v in near.get(n, ()):
+                if v in where:
+                    count[where[v]] = count.get(where[v], 0) + 1
+        if count:
+            best = min(count, key=lambda r: (-count[r], r))
+            where |= {n: best for n in groups[c]}
+        else:
+            orphans.append(c)
+    out = dict(where)
+    open_, held = [], 0
+    for c in orphans + [None]:
+        if c is not None:
+            open_.append(c)
+            held += len(groups[c])
+        if open_ and (c is None or held >= least):
+            out |= {n: min(open_) for x in open_ for n in groups[x]}
+            open_, held = [], 0
+    return out
+
+
+def test_small_communities_join_in_order(spark):
+    rng = random.Random(11)
+    for case in range(5):
+        groups, n = {}, 0
+        for c in range(60):
+            size = rng.choice([1, 1, 1, 2, 2, 3, 4, 5, 6, 9] + ([12] if case else []))
+            groups[c * 3 % 61] = list(range(n, n + size))
+            n += size
+        edges = {tuple(sorted((rng.randrange(n), rng.randrange(n)))) for _ in range(n // (1 + case % 3))}
+        edges |= {(x, x + 1) for x in range(0, n - 1, 3)} if case == 4 else set()
+        members = spark.createDataFrame([(x, c) for c, xs in groups.items() for x in xs], "node long, community long")
+        links = spark.createDataFrame(sorted(e for e in edges if e[0] != e[1]), "a long, b long")
+        got = {r.node: r.community for r in ingest.merged_communities(members, links, 7).collect()}
+        assert got == merged_plainly(groups, [e for e in edges if e[0] != e[1]], 7)
+    alone = spark.createDataFrame([(1, 1), (2, 2)], "node long, community long")
+    assert {tuple(r) for r in ingest.merged_communities(alone, links, 7).collect()} == {(1, 1), (2, 2)}
