@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 from .writes import clamped, events_logged, ident, memories_stored, relations_upserted
 
 Judge = Callable[[DataFrame], DataFrame]
@@ -68,6 +70,27 @@ def merged_duplicates(pairs: DataFrame, links: DataFrame, judge: Judge) -> DataF
     return yes.join(first, ["a", "b"]).select(F.when(a_wins, F.col("b")).otherwise(F.col("a")).alias("loser"), F.when(a_wins, F.col("a")).otherwise(F.col("b")).alias("winner"))
 
 
+def entity_merging(pairs: DataFrame, entities: DataFrame, links: DataFrame, judge: Judge) -> dict[str, DataFrame]:
+    """The whole merging job over duplicate pairs (a, b, similarity).
+
+    ``merges``: (loser, winner). ``entities``: the winners with the name (and its canonical form) and type that the judge prefers, where it names some.
+    ``checked``: (a, b) of pairs that are not to be merged, for markers. Pairs on which the judge fails (should_merge null) are in none. The judge sees both ends' names, types,
+    mentions and link counts, and adds should_merge, winner_name, winner_type."""
+    counts = links.groupBy("entity_id").agg(F.countDistinct("memory_id").alias("n"))
+    known = entities.select("id", "name", "entity_type", "mention_count").join(counts, entities["id"] == counts["entity_id"], "left")
+    end = lambda p: known.select(F.col("id").alias(p), F.col("name").alias(f"name_{p}"), F.col("entity_type").alias(f"type_{p}"), F.col("mention_count").alias(f"mentions_{p}"), F.coalesce("n", F.lit(0)).alias(f"memories_{p}"))
+    said = cut(judge(pairs.join(end("a"), "a").join(end("b"), "b")), "merge-verdicts")  # a model is asked once
+    verdict = said.select("a", "b", "should_merge", "winner_name", "winner_type")
+    merges = merged_duplicates(pairs.select("a", "b"), links, lambda rows: rows.join(verdict.select("a", "b", "should_merge"), ["a", "b"]))
+    pair_of = verdict.where("should_merge").select(F.explode(F.array(F.struct(F.col("a").alias("winner"), F.col("b").alias("loser")), F.struct(F.col("b").alias("winner"), F.col("a").alias("loser")))).alias("e"), "winner_name", "winner_type").select("e.*", "winner_name", "winner_type")
+    new = merges.join(pair_of, ["winner", "loser"]).groupBy("winner").agg(F.max_by("winner_name", F.struct("winner_name", "loser")).alias("winner_name"), F.max_by("winner_type", F.struct("winner_type", "loser")).alias("winner_type"))
+    given = lambda c: F.when(F.length(F.trim(c)) > 0, F.col(c))
+    changed = entities.join(new, entities["id"] == new["winner"]).select(
+        "id", F.coalesce(given("winner_name"), "name").alias("name"), F.coalesce(F.lower(F.trim(given("winner_name"))), "canonical_name").alias("canonical_name"), F.coalesce(given("winner_type"), "entity_type").alias("entity_type"),
+    )
+    return {"merges": merges, "entities": changed, "checked": verdict.where("not should_merge").select("a", "b")}
+
+
 def enriched(candidates: DataFrame, entities: DataFrame, links: DataFrame, memories: DataFrame, judge: Judge) -> DataFrame:
     """(id, description, embed_text) of under-described entities; descriptions of ten characters or fewer are none."""
     rows = candidates.select("id").join(entities.select("id", "name", "entity_type"), "id").join(newest_texts(links, memories, 5, 300), "id")

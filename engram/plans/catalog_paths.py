@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import filters, graph, joins, retrieval, stats
+from ..operators import filters, graph, jobs, joins, retrieval, stats
+from ..sources import sitemaps
 from . import providers
 from .catalog import TS, query
 from .fixtures import AS_OF
@@ -111,3 +112,44 @@ def cross_machine_cooled(t):
 @query("SELECT id, CASE WHEN id % 3 = 0 THEN id % 4 ELSE tier END AS tier FROM memories")
 def tier_update(t):
     return filters.tier_set(t.memories.select("id", "tier"), t.memories.where("id % 3 = 0").select("id", (F.col("id") % 4).alias("tier"))).select("id", "tier")
+
+
+PAIRED = """(SELECT a.id AS a, b.id AS b, a.id % 3 <> 2 AS yes, CASE WHEN a.id % 8 = 0 THEN ' Best ' || a.id || ' ' END AS new_name, CASE WHEN a.id % 6 = 0 THEN 'concept' END AS new_type, coalesce(x.n, 0) >= coalesce(y.n, 0) AS a_wins
+ FROM entities a JOIN entities b ON b.id = a.id + 1 AND a.id % 2 = 0 LEFT JOIN (SELECT entity_id, count(DISTINCT memory_id) AS n FROM entity_memories GROUP BY 1) x ON x.entity_id = a.id LEFT JOIN (SELECT entity_id, count(DISTINCT memory_id) AS n FROM entity_memories GROUP BY 1) y ON y.entity_id = b.id WHERE a.id % 10 <> 4)"""
+
+
+def merging(t):
+    """Neighbours by number as pairs; the judge is a rule that fails on some, and names and types some winners anew."""
+    e = t.entities
+    pairs = e.where("id % 2 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(0.9).alias("similarity"))
+    a = F.col("a")
+    judge_ = lambda rows: rows.withColumns({"should_merge": F.when(a % 10 != 4, a % 3 != 2), "winner_name": F.when(a % 8 == 0, F.concat(F.lit(" Best "), a, F.lit(" "))), "winner_type": F.when(a % 6 == 0, "concept")})
+    return jobs.entity_merging(pairs, e, t.entity_memories, judge_)
+
+
+@query(f"SELECT CASE WHEN a_wins THEN b ELSE a END AS loser, CASE WHEN a_wins THEN a ELSE b END AS winner FROM {PAIRED} WHERE yes")
+def entity_merges(t):
+    return merging(t)["merges"]
+
+
+@query(f"SELECT e.id, coalesce(new_name, e.name) AS name, coalesce(lower(trim(new_name)), e.canonical_name) AS canonical_name, coalesce(new_type, e.entity_type) AS entity_type FROM {PAIRED} p JOIN entities e ON e.id = CASE WHEN a_wins THEN a ELSE b END WHERE yes")
+def entity_merge_winners(t):
+    return merging(t)["entities"]
+
+
+@query(f"SELECT a, b FROM {PAIRED} WHERE NOT yes")
+def entity_merge_checked(t):
+    return merging(t)["checked"]
+
+
+PATH = "(CASE WHEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^#]*)', 1) END)"
+
+
+@query(f"""SELECT page_id, url, coalesce(CASE WHEN {PATH} LIKE '/fr/%?page=2%' THEN true WHEN {PATH} LIKE '/%.html' THEN false WHEN {PATH} LIKE '/en/4%' THEN true WHEN {PATH} LIKE '/en/%' THEN false
+ WHEN regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1) LIKE 'm.%' THEN false END, true) AS allowed FROM pages WHERE url IS NOT NULL""")
+def crawl_allowed(t):
+    """Pages under robots rules of every host: the longest pattern counts."""
+    p = t.raw("pages").where("url is not null").select("page_id", "url")
+    hosts = p.select(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1)).alias("host")).distinct()
+    text = F.concat(F.lit("User-agent: *\nDisallow: /en/\nAllow: /en/4\nDisallow: /*.html$\nAllow: /fr/*?page=2\n"), F.when(F.col("host").startswith("m."), "Disallow: /\n").otherwise(""))
+    return sitemaps.allowed(p, sitemaps.robots_rules(hosts.withColumn("text", text)))
