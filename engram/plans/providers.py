@@ -176,3 +176,21 @@ def query_variants(original: str, variants: Sequence[str], most: int) -> list[st
             seen.add(low)
             out.append(v.strip())
     return out[:most]
+
+
+def search_questions(original: str, expand: Callable[[str], Sequence[str]] | None = None, decompose: Callable[[str], Sequence[str]] | None = None, hypothesise: Callable[[str], str] | None = None) -> list[tuple[str, str]]:
+    """(text to embed, text to search) of every search that a question makes: itself, at most three variants, at most four parts, each once.
+
+    A hypothetical answer of more than 20 characters takes the question's place in the vector of the first. A provider that fails adds nothing."""
+
+    def said(provide, empty):
+        try:
+            return (provide(original) if provide else None) or empty
+        except Exception:  # a model that fails: the search goes on without it
+            return empty
+
+    answer = said(hypothesise, "").strip()
+    variants = query_variants(original, said(expand, []), 3)
+    known = {v.lower() for v in variants}
+    parts = [p for p in query_variants(original, said(decompose, []), 1 << 30) if p.lower() not in known][:4]
+    return [(answer if len(answer) > 20 else original, original), *((x, x) for x in [*variants, *parts])]
