@@ -176,6 +176,16 @@ def reflected(learnings: DataFrame, as_of: str) -> DataFrame:
     return memories_stored(learnings.where("length(trim(content)) >= 10").withColumn("source_type", F.lit("agent")), as_of)
 
 
+def reflected_through(learnings: DataFrame, stored: DataFrame, candidates: DataFrame, judge: Judge) -> dict[str, DataFrame]:
+    """A batch of learnings (id, content, tags, category) through the whole write path; short ones, under 10 characters, are dropped.
+
+    candidates: new_id, old_id, similarity, place, as ``providers.write_candidates`` gives them. Tables as of ``providers.written_back``."""
+    from ..plans.providers import decided, written_back
+
+    fine = learnings.where("length(trim(content)) >= 10")
+    return written_back(stored, fine, decided(fine, candidates, judge))
+
+
 def quality_applied(links: DataFrame, verdicts: DataFrame, least: float = 0.2) -> DataFrame:
     """Links with the validator's confidence (memory_id, entity_id, is_valid, confidence); invalid ones under ``least`` are removed."""
     v = verdicts.select("memory_id", "entity_id", F.col("is_valid").alias("__valid"), F.coalesce("confidence", F.lit(0.5)).alias("__confidence"))

@@ -118,6 +118,20 @@ def code_search(memories: DataFrame, query: str, tags: Sequence[str], k: int) ->
     return text_search(matching(memories, tags=tags), query, k).select("id", "symbol.*")
 
 
+def symbol_search(memories: DataFrame, vector: Sequence[float], text: str, tags: Sequence[str], k: int, threshold: float, as_of: str, **options) -> DataFrame:
+    """Symbols (id, score, language, kind) by fused search over rows with one of the tags."""
+    hits = hybrid_search(memories, vector, text, k, threshold, as_of, tags=tags, **options)
+    return hits.join(memories.select("id", "symbol"), "id").select("id", "score", "symbol.*")
+
+
+def distilled(memories: DataFrame, vector: Sequence[float], text: str, k: int, threshold: float, as_of: str, judge, **options) -> DataFrame:
+    """(id, score, answer): what a judge distils of each text that fused search finds, as ``jobs.compressed`` has it."""
+    from .jobs import compressed
+
+    hits = hybrid_search(memories, vector, text, k, threshold, as_of, **options)
+    return compressed(hits.select("id", "score").join(memories.select("id", "content"), "id"), judge).select("id", "score", "answer")
+
+
 def _parsed(query: str) -> list[tuple[bool, list[list[str]]]]:
     """(negative, alternatives), each alternative a phrase of words."""
     out: list[tuple[bool, list[list[str]]]] = []

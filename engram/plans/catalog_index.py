@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import retrieval
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
-from .catalog import COS, REL, query, query_vector
+from .catalog import COS, REL, WORDS, query, query_vector
+from .catalog import NEAR as NEAREST
 from .fixtures import AS_OF
 
 PAYLOAD = ["importance", "tier", "quality_score", "created_at"]
@@ -81,3 +82,24 @@ def indexed_hybrid(t):
     words = hits.orderBy(F.desc("rank_score"), F.desc("importance"), "id").limit(30)
     lists = [retrieval.with_rank(near, F.desc("relevance"), F.asc("id")), retrieval.with_rank(words, F.desc("rank_score"), F.desc("importance"), F.asc("id"))]
     return retrieval.fused(lists, 10).select("id", F.round("score", 6).alias("score"), "lists")
+
+
+def fused_sql(only: str = "") -> str:
+    """SQL of fused search's (id, total), ten rows, over memories where ``only`` holds."""
+    held = lambda sql: sql.replace("FROM memories WHERE ", f"FROM memories WHERE {only} AND ") if only else sql
+    return f"""(SELECT id, sum(1.0 / (60 + rank)) AS total FROM (SELECT id, row_number() OVER (ORDER BY relevance DESC, id) AS rank FROM ({held(NEAREST % (90, 30))})
+ UNION ALL SELECT id, row_number() OVER (ORDER BY s DESC, importance DESC, id) AS rank FROM (SELECT w.* FROM ({held(WORDS)}) w JOIN memories m ON m.id = w.id WHERE m.tier < 3 ORDER BY s DESC, w.importance DESC, w.id LIMIT 30)) GROUP BY 1 ORDER BY total DESC, id LIMIT 10)"""
+
+
+@query(f"""SELECT f.id, round(total, 6) AS score, source_machine AS language, tags[1] AS kind FROM {fused_sql("list_has_any(tags, ['en', 'fr'])")} f JOIN memories m ON m.id = f.id""")
+def symbol_search(t):
+    """Code symbols by both lists, of rows with one of the tags."""
+    rows = t.memories.withColumn("symbol", F.struct(F.col("source_machine").alias("language"), F.col("tags")[0].alias("kind")))
+    return retrieval.symbol_search(rows, query_vector(t), "attion ertion", ["en", "fr"], 10, 0.10, AS_OF).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT f.id, round(total, 6) AS score, CASE WHEN f.id % 3 <> 0 THEN left(content, 60) WHEN length(content) < 200 THEN content END AS answer FROM {fused_sql()} f JOIN memories m ON m.id = f.id")
+def distilled_hits(t):
+    """Fused search's hits, distilled by a rule that says nothing of every third."""
+    judge = lambda rows: rows.withColumn("answer", F.when(F.col("id") % 3 != 0, F.left("content", F.lit(60))))
+    return retrieval.distilled(t.memories, query_vector(t), "attion ertion", 10, 0.10, AS_OF, judge).withColumn("score", F.round("score", 6))

@@ -2,6 +2,9 @@
 
 import json
 
+from pyspark.sql import functions as F
+
+from engram.operators import jobs
 from engram.plans import providers
 from engram.sources import importers
 
@@ -34,3 +37,16 @@ def test_search_questions():
     got = providers.search_questions("Q", lambda q: ["q", "A", " a ", "b", "c", "d"], lambda q: ["B", "p1", "p2", "P1", "p3", "p4", "p5"], lambda q: "a long hypothetical answer")
     assert got == [("a long hypothetical answer", "Q"), ("A", "A"), ("b", "b"), ("c", "c"), ("p1", "p1"), ("p2", "p2"), ("p3", "p3"), ("p4", "p4")]
     assert providers.search_questions("Q", hypothesise=lambda q: "too short")[0] == ("Q", "Q")
+
+
+def test_learnings_go_through_the_write_path(spark):
+    schema = "id long, content string, tags array<string>, category string"
+    new = spark.createDataFrame([(1, "a learning that is new", ["x"], "data"), (2, "a learning known already", None, None), (3, "short", None, None), (4, "a better one of six", ["y"], None), (5, "it takes the place of seven", None, "ops")], schema)
+    stored = spark.createDataFrame([(6, "six", ["old"], "data"), (7, "seven", ["old"], "data"), (8, "eight", None, None)], schema)
+    pairs = spark.createDataFrame([(2, 8, 0.99), (4, 6, 0.9), (5, 7, 0.95), (5, 6, 0.86), (1, 8, 0.5)], "new_id long, old_id long, similarity double")
+    verdict = F.element_at(F.create_map(*[F.lit(x) for kv in {2: "noop", 4: "Update", 5: "SUPERSEDE"}.items() for x in kv]), F.col("id").cast("int"))
+    judge = lambda rows: rows.withColumn("answer", F.struct(verdict.alias("action"), F.lit(99).cast("long").alias("target_id"), F.lit("").alias("content")))
+    out = jobs.reflected_through(new, stored, providers.write_candidates(pairs), judge)
+    assert {(r.id, r.supersedes) for r in out["inserted"].collect()} == {(1, None), (5, 7)} and [r.id for r in out["skipped"].collect()] == [2]
+    rows = {r.id: (r.content, r.tags, r.category, r.archived_reason) for r in out["stored"].collect()}
+    assert rows == {6: ("a better one of six", ["y"], "data", None), 7: ("seven", ["old"], "_archived", "superseded"), 8: ("eight", None, None, None)}
