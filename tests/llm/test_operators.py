@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engram.llm import ann, bpe, jpeg, near, packing, quality, secrets, sstable, suffix, toxicity
+from engram.llm import ann, bpe, jpeg, near, packing, quality, queries, secrets, sstable, suffix, toxicity
 from engram.llm.components import components
 from engram.llm.queries import tokenizer_path
 
@@ -258,6 +258,18 @@ def test_removal(spark, docs, monkeypatch, splits):
     assert collections.Counter(tuple(r) for r in suffix.removal_digest(df).collect()) == removal_brute(rows_of(df), 400)
 
 
+def test_removal_text(spark, tmp_path):
+    passage = " ".join("".join(random.Random(7 * i).choice("abcdefgh") for _ in range(9)) for i in range(60))
+    halves = "".join(random.Random(i).choice("ijklmnop") for i in range(420))
+    rows = [(1, f"left one {passage} right one"), (2, f"before two {passage} behind two"), (3, "alone"), (4, None), (5, "xé" + halves + "éy"), (6, "z©" + halves + "èw")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op3_bwt_merge(spark, str(tmp_path)).collect()}
+    assert list(got[1].asDict())[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert [got[i].text for i in range(1, 7)] == ["left oneright one", "before twobehind two", "alone", "", "xy", "zw"]
+    assert all(got[i].kept_sha256 == hashlib.sha256(got[i].text.encode()).hexdigest() for i in range(1, 5))
+    assert got[5].n_removed == got[6].n_removed == 1 + 420 + 1
+
+
 def test_removal_empty(empty, docs):
     assert suffix.removal_digest(empty).count() == 0
     same = suffix.remove_repeats(docs, 200, 50)
