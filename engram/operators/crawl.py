@@ -18,15 +18,20 @@ Fetch = Callable[[DataFrame], DataFrame]
 HOST = r"^https?://([^/:?#]+)"
 
 
+def read_pages(pages: DataFrame) -> DataFrame:
+    """Every row of pages (url, html), with title, plain text, the distinct references as they stand (hrefs), and links: those with those to a path made absolute."""
+    base = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
+    hrefs = F.array_distinct(F.expr("regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)"))
+    links = F.array_distinct(F.transform("hrefs", lambda h: F.when(h.startswith("/"), F.concat(base, h)).otherwise(h)))
+    return pages.withColumn("hrefs", hrefs).withColumns({"title": html_title(F.col("html")), "text": html_text(F.col("html")), "links": links})
+
+
 def page_fetcher(pages: DataFrame) -> Fetch:
     """Pages (url, html) as if fetched: title, plain text, and links with those to a path made absolute; one page of a url."""
 
     def fetch(urls: DataFrame) -> DataFrame:
-        base = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
         found = urls.select("url").distinct().join(pages.select("url", "html"), "url").groupBy("url").agg(F.min("html").alias("html"))
-        hrefs = F.expr("regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)")
-        links = F.array_distinct(F.transform(hrefs, lambda h: F.when(h.startswith("/"), F.concat(base, h)).otherwise(h)))
-        return found.select("url", html_title(F.col("html")).alias("title"), html_text(F.col("html")).alias("text"), links.alias("links"))
+        return read_pages(found).select("url", "title", "text", "links")
 
     return fetch
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from engram.functions import stems
 from engram.functions import text as T
 from engram.operators import crawl, graph, jobs, retrieval, writes
+from engram.plans import catalog, catalog_jobs, catalog_more  # noqa: F401
 
 AS_OF = "2024-02-01 00:00:00"
 #: Pairs that the published algorithm states.
@@ -78,3 +79,22 @@ def test_large_components(spark):
     c = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (7, 7)], "node long, component long")
     assert {r.node for r in graph.large_components(c, 3).collect()} == {1, 2, 3}
     assert graph.large_components(c, 4).count() == 4
+
+
+def shown(spark, folder, name, pages):
+    """A query's rows over pages (page_id, url, html), and those of its SQL."""
+    import duckdb
+
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    return sorted((tuple(r) for r in catalog.QUERIES[name](spark, str(folder)).collect()), key=repr), sorted(con.execute(catalog.SQL[name]).fetchall(), key=repr)
+
+
+#: Urls that several pages have, empty and null pages, and a reference both as a path and absolute.
+TWICE = [(0, "http://a.org/x", '<a href="/y">y</a><a href="http://a.org/y">y</a>'), (1, "http://a.org/x", "plain"), (2, "http://a.org/z", ""), (4, "http://a.org/z", "same"), (6, "http://a.org/z", "same"), (3, "http://a.org/odd", "odd"), (8, "http://a.org/n", None), (10, None, "none"), (11, None, "none")]
+
+
+def test_pages_of_one_url_are_rows_each(spark, tmp_path):
+    got, want = shown(spark, tmp_path, "crawl_fetch", TWICE)
+    assert got == want and len(got) == 6
