@@ -40,10 +40,10 @@ def queued(queue: DataFrame, links: DataFrame, per_page: int = 5, least: float =
     return best.groupBy("url").agg(F.min("page_id").alias("page_id"), F.max("score").alias("score")).join(queue.select("url").distinct(), "url", "left_anti")
 
 
-def marked_crawled(queue: DataFrame, done: DataFrame, at: str) -> DataFrame:
-    """Queue rows with the time and error of those done; done rows repeat a url at most in the first."""
-    d = done.groupBy("url").agg(F.min("error").alias("__error"), F.lit(True).alias("__done"))
-    return queue.drop("crawled_at", "error").join(d, "url", "left").withColumn("crawled_at", F.when(F.col("__done"), F.lit(at).cast("timestamp"))).withColumnRenamed("__error", "error").drop("__done")
+def marked_crawled(queue: DataFrame, done: DataFrame, at: str, key: Sequence[str] = ("url",)) -> DataFrame:
+    """Queue rows with the time and error of those done, told by ``key``: a queue that holds a url in several rows needs more than the url. Done rows may repeat a key."""
+    d = done.groupBy(*key).agg(F.min("error").alias("__error"), F.lit(True).alias("__done"))
+    return queue.drop("crawled_at", "error").join(d, list(key), "left").withColumn("crawled_at", F.when(F.col("__done"), F.lit(at).cast("timestamp"))).withColumnRenamed("__error", "error").drop("__done")
 
 
 def open_handoffs(memories: DataFrame, k: int, resolved: Sequence[str] = ("completed", "superseded", "abandoned")) -> DataFrame:

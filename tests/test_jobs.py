@@ -98,3 +98,8 @@ TWICE = [(0, "http://a.org/x", '<a href="/y">y</a><a href="http://a.org/y">y</a>
 def test_pages_of_one_url_are_rows_each(spark, tmp_path):
     got, want = shown(spark, tmp_path, "crawl_fetch", TWICE)
     assert got == want and len(got) == 6
+
+
+def test_queue_rows_of_one_url_are_marked_each(spark, tmp_path):
+    got, want = shown(spark, tmp_path, "queue_mark", TWICE)
+    assert got == want and sum(crawled for _, crawled in got) == 5
