@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
+from .louvain import moved_by, packed_rows, proposing_rows, settle_rows
 
 
 def symmetric(relations: DataFrame) -> DataFrame:
@@ -74,27 +79,93 @@ def weights(relations: DataFrame) -> DataFrame:
     return relations.where("valid and source_id <> target_id").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), c.alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
+#: Graphs of so many pairs and nodes are settled in one task; labels of so many nodes are held by the driver and sent to the tasks.
+PAIRS, NODES, LABELS = 1 << 22, 1 << 18, 1 << 21
+
+
 def communities(relations: DataFrame, rounds: int | None = None, least: int = 3) -> DataFrame:
     """(node, community): local moves that raise modularity, then the same on contracted communities, after Blondel and others, 2008.
 
     Rounds of moves end when no node gains (or after ``rounds`` of a level, where given), levels when none
-    of their nodes does. Ties go to the lesser community. Small communities go."""
-    w = cut(weights(relations), "weights")
-    total = w.agg(F.sum("w")).first()[0] or 0.0
-    both = w.unionByName(w.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    of their nodes does. Ties go to the lesser community. Small communities go.
+
+    While a level has more than ``PAIRS`` pairs or ``NODES`` nodes, its edges stay in many tasks and a round is one pass over them that knows all labels; with over
+    ``LABELS`` nodes, labels are joined. What contraction leaves under these bounds is settled in one task, whose memory they bound."""
+    pairs = cut(weights(relations), "weights")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     strength = cut(both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")), "strength")
     members = strength.select("node", F.col("node").alias("community"))
-    while total and (label := _moved(both, strength, total, rounds)) is not None:
+    n, total = pairs.agg(F.count("*"), F.sum("w")).first()
+    while n:
+        nodes = strength.count()
+        if here := n <= PAIRS and nodes <= NODES:
+            # The rows of strengths name the nodes. All levels that follow are settled at once.
+            rows = pairs.select("a", "b", "w").unionByName(strength.select(F.col("node").alias("a"), F.col("node").alias("b"), F.col("k").alias("w")))
+            label = cut(rows.coalesce(1).mapInArrow(settle_rows(total, rounds), "node long, community long"), "settled")
+        elif nodes <= LABELS:
+            label = _moved_by_labels(pairs, strength, total, rounds)
+        else:
+            label = _moved(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), strength, total, rounds)
+        if label is None:
+            break
         named = label.select(F.col("node").alias("community"), F.col("community").alias("joined"))
         members = cut(members.join(named, "community", "left").select("node", F.coalesce("joined", "community").alias("community")), "communities")
+        if here:
+            break
         ends = lambda end: label.select(F.col("node").alias(end), F.col("community").alias(f"{end}_in"))  # noqa: E731, B023
-        linked = both.join(ends("a"), "a").join(ends("b"), "b").where("a_in <> b_in")
-        both = cut(linked.groupBy(F.col("a_in").alias("a"), F.col("b_in").alias("b")).agg(F.sum("w").alias("w")), "contracted")
-        strength = cut(strength.join(label.select("node", "community"), "node").groupBy(F.col("community").alias("node")).agg(F.sum("k").alias("k")), "strength")
+        linked = pairs.join(ends("a"), "a").join(ends("b"), "b").where("a_in <> b_in")
+        pairs = cut(linked.groupBy(F.least("a_in", "b_in").alias("a"), F.greatest("a_in", "b_in").alias("b")).agg(F.sum("w").alias("w")), "contracted")
+        named = label.select("node", F.col("community").alias("joined"))
+        strength = cut(strength.join(named, "node", "left").groupBy(F.coalesce("joined", "node").alias("node")).agg(F.sum("k").alias("k")), "strength")
+        n = pairs.count()
     sizes = members.groupBy("community").agg(F.count("*").alias("members"), F.min("node").alias("least")).where(F.col("members") >= least)
     return members.join(sizes, "community").select("node", F.col("least").alias("community"), "members")
 
 
+def _moved_by_labels(pairs: DataFrame, strength: DataFrame, total: float, rounds: int | None) -> DataFrame | None:
+    """(node, community) when no node gains any more, or None where none gains from the start: edges packed by node once, then a pass over them a round."""
+    spark = pairs.sparkSession
+    rows = strength.select(F.col("node").cast("long").alias("node"), "k").toArrow()  # LABELS rows at most
+    ids, k = rows.column("node").to_numpy(), rows.column("k").to_numpy()
+    order = np.argsort(ids)
+    ids, k = ids[order], k[order]
+    known = spark.sparkContext.broadcast(ids)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (pa.array(np.searchsorted(known.value, batch.column(i).to_numpy()).astype(np.int32)) for i in (0, 1))
+            w = batch.column(2)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]), pa.concat_arrays([b, a]), pa.concat_arrays([w, w])], ["a", "b", "w"])
+
+    both = pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "w").mapInArrow(numbered, "a int, b int, w double")
+    packed = cut(both.repartition("a").sortWithinPartitions("a", "b").mapInArrow(packed_rows, "a int, near binary, w binary"), "neighbours")
+
+    def propose(label: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, ...]:
+        state = spark.sparkContext.broadcast((label, sigma, k))
+        got = packed.mapInArrow(proposing_rows(state, total), "node int, best int, gain double, stay double, inside double").toArrow()
+        state.unpersist()
+        node = got.column("node").to_numpy()
+        # A node without a pair stays where it is.
+        best, gain, stay, inside = label.copy(), np.zeros(len(k)), np.zeros(len(k)), np.zeros(len(k))
+        for x, name in ((best, "best"), (gain, "gain"), (stay, "stay"), (inside, "inside")):
+            x[node] = got.column(name).to_numpy()
+        return best, gain, stay, inside
+
+    label = moved_by(propose, k, total, rounds)
+    if label is None:
+        return None
+    name = ids[label]
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, name = shared.value
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(name[np.searchsorted(ids, node)])], ["node", "community"])
+
+    shared = spark.sparkContext.broadcast((ids, name))
+    return cut(strength.select(F.col("node").cast("long").alias("node")).mapInArrow(told, "node long, community long"), "labels")
+
+
 def _moved(both: DataFrame, strength: DataFrame, total: float, rounds: int | None) -> DataFrame | None:
     """(node, community) of linked nodes when none gains any more, or None where none gains from the start.
 

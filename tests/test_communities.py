@@ -3,7 +3,9 @@
 import itertools
 import random
 
-from engram.operators import graph, ingest
+import numpy as np
+
+from engram.operators import graph, ingest, louvain
 
 SCHEMA = "id long, source_id long, target_id long, relationship_type string, confidence double, valid boolean"
 
@@ -99,3 +101,44 @@ def test_small_communities_join_in_order(spark):
         assert got == merged_plainly(groups, [e for e in edges if e[0] != e[1]], 7)
     alone = spark.createDataFrame([(1, 1), (2, 2)], "node long, community long")
     assert {tuple(r) for r in ingest.merged_communities(alone, links, 7).collect()} == {(1, 1), (2, 2)}
+
+
+def test_rounds_over_labels_and_joins_settle_too(spark, monkeypatch):
+    """The ways of larger graphs: by labels in the tasks, and with more nodes than those hold by joins."""
+    rng = random.Random(5)
+    edges = sorted({tuple(sorted(rng.sample(range(0, 900, 9), 2))) for _ in range(1500)})
+    here = modularity(edges, found(spark, edges))
+    monkeypatch.setattr(graph, "PAIRS", 0)
+    label = found(spark, edges)
+    assert no_merge_gains(edges, label) and abs(modularity(edges, label) - here) < 0.05
+    monkeypatch.setattr(graph, "LABELS", 10)
+    edges = [(c * 4 + a, c * 4 + b) for c in range(4) for a, b in itertools.combinations(range(4), 2)] + [(0, 4), (8, 12), (1, 8)]
+    label = found(spark, edges)
+    assert no_merge_gains(edges, label) and all(len({label[c * 4 + i] for i in range(4)}) == 1 for c in range(4))
+
+
+def test_no_move_of_a_node_gains():
+    """A dense random graph, whose many small gains took very many rounds of joins."""
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 200, (2, 12_000))
+    w, n = np.ones(len(a)), 200
+    a, b, w = a[a != b], b[a != b], w[a != b]
+    k, total = np.bincount(a, w, n) + np.bincount(b, w, n), float(len(a))
+    label, moved = louvain.swept(a, b, w, k, total, None)
+    sigma = np.bincount(label, k, n)
+    assert moved
+    for x in range(n):
+        near = np.concatenate([label[b[a == x]], label[a[b == x]]])
+        best, gain, stay, _ = louvain.best_of(label[x], k[x], near, np.ones(len(near)), sigma, total)
+        assert gain <= stay + 1e-6
+
+
+def test_dense_tables_take_few_jobs(spark):
+    """A round of joins was several jobs, and dense graphs take very many rounds: here each way has a bounded number of jobs."""
+    n = 120
+    edges = sorted({(a, b) for a, b in itertools.combinations(range(n), 2) if (a * 7 + b * 13) % 5})
+    spark.sparkContext.setJobGroup("dense", "dense")
+    label = found(spark, edges)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("dense"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(label) == n and no_merge_gains(edges, label) and jobs < 60
