@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from engram.functions.lineage import cut_one_by_one
 from engram.operators import jobs, joins
 from engram.operators.similarity_join import Plan, similar_pairs
 
@@ -120,3 +121,18 @@ def test_texts_come_to_pairs_in_slices(spark):
         got = [sorted(map(tuple, x[name].collect()), key=repr) for x in (one, many)]
         assert got[0] == got[1] and len(got[0]) > 20
     assert seen[0] == sum(seen[1:]) == 780 and len(seen) == 9 and max(seen[1:]) < 200
+
+
+def test_cooccurrences_in_slices(spark, monkeypatch):
+    """Slices hold each pair once, of crowded memories too, and several are made where pairs are many."""
+    rng = np.random.default_rng(6)
+    rows = sorted({(int(m), int(e)) for m, e in zip(rng.integers(0, 6, 260), rng.integers(0, 45, 260))})
+    links, slices = spark.createDataFrame(rows, "memory_id long, entity_id long"), []
+    monkeypatch.setattr(joins, "cut_one_by_one", lambda made, n, name: slices.append(n) or cut_one_by_one(made, n, name))
+    want = {}
+    for m in range(6):
+        for pair in itertools.combinations([e for x, e in rows if x == m], 2):
+            want.setdefault(pair, []).append(m)
+    want = {p: (len(ms), ms[:2]) for p, ms in want.items() if len(ms) >= 3}
+    got = joins.cooccurrences(links, 3, sample=2, block=9, most=1).collect()
+    assert len(got) == len(want) > 50 and {(r.e1, r.e2): (r.shared, r.sample) for r in got} == want and slices[0] > 3
